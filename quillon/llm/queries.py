@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, quality_rules, simhash
-from quillon.llm.common import table
+from quillon.llm import bpe, context_tree, language_id, learned_partitions, mixing, quality_model, quality_rules, records, sharding, simhash
+from quillon.llm.common import id_residue, table
+
+#: Where the vocabulary files of public tokenizers lie, unless a caller says otherwise.
+TOKENIZERS = "/opt/tokenizers"
+#: The pattern of the rank files, a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +31,47 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", F.coalesce(id_residue(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(id_residue(F.col("doc_id"), 5) == 0, F.lit(True))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.new_folder(spark)
+    return records.read(records.write(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json"), folder)
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_quality_rules": op1_quality_rules,
-        "op2_mixing": op2_mixing,
-        "op3_simhash": op3_simhash,
+        f.__name__: f
+        for f in (
+            op1_quality_rules, op2_mixing, op3_simhash, op4_context_tree, op5_learned_partitions,
+            op6_language_id, op7_bpe, op8_quality_model, op9_records, op10_kd_shards,
+        )
     }
 
 
