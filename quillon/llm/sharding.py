@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
 
-BINS = 2048
+#: Steps of a histogram, and the share of a shard by which a cut may miss its quantile.
+BINS, TOLERANCE = 4096, 0.001
 DIMENSIONS = ("size", "lines", "wide", "hash")
 
 
@@ -47,7 +48,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.crc32(F.col("t").cast("binary")).alias("text_crc32"),
         (F.length("t") - F.length(F.translate("t", "\n", ""))).cast("long").alias("lines"),
         (F.octet_length("t") - F.length("t")).cast("long").alias("wide"),
-        F.shiftrightunsigned(F.xxhash64("t"), 11).alias("hash"),
+        F.shiftrightunsigned(F.xxhash64("t"), 24).alias("hash"),
     )
 
 
@@ -93,19 +94,23 @@ def _histogram(rows: DataFrame, at: Column, bounds: dict[int, tuple[str, int, in
 def _exact(rows: DataFrame, at: Column, nodes: list[Node], spans: dict[int, dict[str, tuple[int, int]]], bytes_of: dict[int, int]) -> None:
     """Set each node's cut: first along its dimension, then along the tie-breakers of the value that the cut falls on."""
     want = {n.number: bytes_of[n.number] * (n.shards // 2) // n.shards for n in nodes}
-    value = _descend(rows, at, {n.number: (n.dimension, *spans[n.number][n.dimension]) for n in nodes}, want)
+    enough = {n.number: int(TOLERANCE * bytes_of[n.number] / n.shards) for n in nodes}
+    value = _descend(rows, at, {n.number: (n.dimension, *spans[n.number][n.dimension]) for n in nodes}, want, enough)
     same = F.lit(False)
     for n in nodes:
         same = F.when(F.col("__n") == n.number, F.col(n.dimension) == F.lit(value[n.number][0])).otherwise(same)
     ties = rows.withColumn("__n", at).where(same).drop("__n")
     left = {n.number: want[n.number] - value[n.number][1] for n in nodes}
-    tie = _descend(ties, at, {n.number: ("tie", 0, 1 << 32) for n in nodes}, left)
+    far = [n for n in nodes if left[n.number] > enough[n.number]]
+    tie = _descend(ties, at, {n.number: ("tie", 0, 1 << 32) for n in far}, left, enough)
     for n in nodes:
-        n.cut = (value[n.number][0], tie[n.number][0])
+        n.cut = (value[n.number][0], tie[n.number][0] if n in far else 0)
 
 
-def _descend(rows: DataFrame, at: Column, bounds: dict[int, tuple[str, int, int]], want: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Per node the value where the running bytes first exceed the wanted ones, and the bytes before it."""
+def _descend(
+    rows: DataFrame, at: Column, bounds: dict[int, tuple[str, int, int]], want: dict[int, int], enough: dict[int, int]
+) -> dict[int, tuple[int, int]]:
+    """Per node the value where the running bytes first exceed the wanted ones, to within `enough` bytes, and the bytes before it."""
     passed, found = dict.fromkeys(bounds, 0), {}
     while bounds:
         got, later = _histogram(rows, at, bounds), {}
@@ -118,8 +123,8 @@ def _descend(rows: DataFrame, at: Column, bounds: dict[int, tuple[str, int, int]
                 passed[k] += got[k][b]
             if chosen is None:
                 found[k] = (hi, passed[k])
-            elif step == 1:
-                found[k] = (lo + chosen, passed[k])
+            elif step == 1 or want[k] - passed[k] <= enough[k]:
+                found[k] = (lo + chosen * step, passed[k])
             else:
                 later[k] = (name, lo + chosen * step, min(hi, lo + (chosen + 1) * step))
         bounds = later
