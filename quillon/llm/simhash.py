@@ -84,78 +84,72 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of all fingerprints, 64 to a word."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-len(prints) // 64) * 64), np.uint8)
+    """Bit planes of fingerprints (n words each): row b holds bit b of all fingerprints, 64 to a machine word."""
+    prints = prints.reshape(len(prints), -1)
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    padded = np.zeros((bits.shape[1], -(-len(prints) // 64) * 64), np.uint8)
     padded[:, : len(prints)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def within(queries: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, fingerprint) at `radius` (at most 6) or fewer differing bits.
+    """Index pairs (query, fingerprint) at `radius` or fewer differing bits; fingerprints have one word or several.
 
-    Three planes at a time pass a full adder; its sum and carry ripple into vertical counters of one, two and four,
-    and a lane that overflows the radius is dead. Every few planes only the blocks with a live lane go on.
+    Two planes at a time pass an adder with the counter of ones; its carry ripples up vertical counters just wide enough for the radius, and
+    a lane whose count goes beyond them is dead. Every few planes lanes over the radius die too, and only blocks with a live lane go on.
     """
-    planes, full = planes_of(prints), np.uint64(0xFFFFFFFFFFFFFFFF)
-    n_words = planes.shape[1]
+    planes = planes_of(prints)
+    n_bits, n_words, width = len(planes), planes.shape[1], int(radius + 1).bit_length()
+    queries = queries.reshape(len(queries), -1)
     found_q, found_p = [], []
     for lo in range(0, len(queries), 256):
-        part = queries[lo : lo + 256]
-        q = np.repeat(np.arange(len(part)), n_words)
-        w = np.tile(np.arange(n_words), len(part))
-        ones = np.zeros(len(q), np.uint64)
-        twos, fours, dead = ones.copy(), ones.copy(), ones.copy()
+        part = np.ascontiguousarray(queries[lo : lo + 256])
+        q, w = np.repeat(np.arange(len(part)), n_words), np.tile(np.arange(n_words), len(part))
+        counters = [np.zeros(len(q), np.uint64) for _ in range(width)]
+        dead = np.zeros(len(q), np.uint64)
         if len(prints) % 64:
-            dead[w == n_words - 1] = full << np.uint64(len(prints) % 64)
-        set_bits = np.where((part[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0)).T
-        for b in range(0, 63, 3):
-            x, y, z = (planes[b + i][w] ^ set_bits[b + i][q] for i in range(3))
+            dead[w == n_words - 1] = FULL << np.uint64(len(prints) % 64)
+        set_bits = np.where(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").T, FULL, np.uint64(0))
+        for b in range(0, n_bits, 2):
+            x, y = planes[b][w] ^ set_bits[b][q], planes[b + 1][w] ^ set_bits[b + 1][q]
             half = x ^ y
-            total, carry = half ^ z, (x & y) | (half & z)
-            spill = ones & total
-            ones ^= total
-            both = twos & carry
-            four = both | ((twos ^ carry) & spill)
-            twos ^= carry ^ spill
-            dead |= fours & four
-            fours |= four
-            dead |= _over(ones, twos, fours, radius)
-            if b % 9 == 6 and b > 15:
-                live = dead != full
-                q, w, ones, twos, fours, dead = (v[live] for v in (q, w, ones, twos, fours, dead))
-                if not len(q):
-                    break
+            carry = (x & y) | (half & counters[0])
+            counters[0] ^= half
+            for c in counters[1:]:
+                over = c & carry
+                c ^= carry
+                carry = over
+            dead |= carry
+            if b % 8 == 6 and b >= 2 * radius or b == n_bits - 2:
+                dead |= _over(counters, radius)
+                live = dead != FULL
+                if live.mean() < 0.7 or b == n_bits - 2:
+                    q, w, dead, counters = q[live], w[live], dead[live], [c[live] for c in counters]
+                    if not len(q):
+                        break
         if not len(q):
             continue
-        last = planes[63][w] ^ set_bits[63][q]
-        spill = ones & last
-        ones ^= last
-        four = twos & spill
-        twos ^= spill
-        dead |= fours & four
-        fours |= four
-        dead |= _over(ones, twos, fours, radius)
-        alive = np.flatnonzero(dead != full)
-        lanes = np.unpackbits((~dead[alive]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lanes = np.unpackbits((~dead).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(lanes)
-        found_q.append(q[alive[row]] + lo)
-        found_p.append(w[alive[row]] * 64 + lane)
+        found_q.append(q[row] + lo)
+        found_p.append(w[row] * 64 + lane)
     if not found_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_q), np.concatenate(found_p)
 
 
-def _over(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count exceeds the radius."""
-    least = radius + 1
-    over, equal = np.zeros_like(ones), np.full_like(ones, 0xFFFFFFFFFFFFFFFF)
-    for bit, counter in ((4, fours), (2, twos), (1, ones)):
-        if least & bit:
-            equal = equal & counter
+def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count exceeds the radius."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], FULL)
+    for i in range(len(counters) - 1, -1, -1):
+        if (radius + 1) >> i & 1:
+            equal = equal & counters[i]
         else:
-            over |= equal & counter
-            equal = equal & ~counter
+            over |= equal & counters[i]
+            equal = equal & ~counters[i]
     return over | equal
 
 
@@ -193,7 +187,7 @@ def _compare(block: pa.Table, radius: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], radius: int, compare) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (bucket, block); runs of one block are gathered, small ones with their neighbours.
 
     Rows of different buckets that share a block may link too: what is within the radius is a link wherever it is found.
@@ -202,7 +196,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     n, last = 0, None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if n > 1 and (out := _compare(pa.Table.from_batches(held), radius)):
+        if n > 1 and (out := compare(pa.Table.from_batches(held), radius)):
             yield out
 
     for batch in batches:
@@ -240,16 +234,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         "fp", "node",
         F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])).alias("bucket"),
     )
-    large = keyed.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    # at most tables * n / CHUNK buckets are large: under a thousandth of the rows, and joined by Spark's choice
-    cut = keyed.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    paired = cut.select(
-        "fp", "node", "bucket",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(mine, o) * F.col("chunks") + F.greatest(mine, o))).alias("block"),
-    )
-    dealt = paired.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(lambda it: _block_links(it, radius), "a long, b long").distinct()
+    dealt = dealt_blocks(keyed, CHUNK)
+    return dealt.mapInArrow(lambda it: _block_links(it, radius, _compare), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,14 +268,152 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near-duplicates by similarity -------------------------------------------------------------------------------------
+
+#: Words of a wide fingerprint, and the chance with which a pair at the wanted similarity may be missed.
+WIDE, MISS = 4, 0.02
+#: Fingerprints compared in one block at most when they are wide.
+WIDE_CHUNK = 4096
+
+
+def wide_fingerprint(hashes: set[int]) -> np.ndarray:
+    """Majority votes of WIDE families of hashes, each mixed from the shingles' own."""
+    h = np.fromiter(hashes, np.uint64, len(hashes))
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE if len(h) else 0):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[k] = majority(x ^ (x >> np.uint64(31)), np.array([len(h)]))[0]
+    return out
+
+
+def _wide_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([wide_fingerprint(set(shingle_hashes(t.as_py(), width))) for t in batch.column(1)], np.uint64).reshape(len(batch), WIDE).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(WIDE))], names=["doc_id", *(f"f{k}" for k in range(WIDE))])
+
+
+def expected_bits(similarity: float) -> float:
+    """Chance that a bit differs between sets of this Jaccard similarity: the angle of vectors whose cosine is at least 2s / (1 + s)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def radius_of(similarity: float) -> int:
+    """Differing bits up to which a pair may have the similarity: the mean and 2.6 deviations."""
+    p, n = expected_bits(similarity), 64 * WIDE
+    return int(np.ceil(n * p + 2.6 * np.sqrt(n * p * (1 - p))))
+
+
+def bit_samples(n: int, similarity: float, seed: int = 11) -> list[list[int]]:
+    """Masks of random bits, one list of WIDE signed words per table.
+
+    More bits as there are more fingerprints, so that a bucket holds about 64 unrelated ones; as many tables as it takes for a pair at the similarity to agree in one but for
+    a chance of MISS.
+    """
+    bits = int(np.clip(round(np.log2(max(n, 2) / 64)), 10, 24))
+    tables = int(np.ceil(np.log(MISS) / np.log1p(-((1 - expected_bits(similarity)) ** bits))))
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(tables):
+        chosen = np.zeros(64 * WIDE, np.uint8)
+        chosen[rng.choice(64 * WIDE, bits, replace=False)] = 1
+        out.append(np.packbits(chosen, bitorder="little").view(np.int64).tolist())
+    return out
+
+
+def spanning(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the links of a least spanning forest: every component takes its least link outward until none is left."""
+    root, chosen = np.arange(n), []
+    order = np.argsort(weight, kind="stable")
+    left, right = left[order], right[order]
+    alive = np.arange(len(left))
+    while len(alive):
+        a, b = root[left[alive]], root[right[alive]]
+        alive = alive[a != b]
+        if not len(alive):
+            break
+        a, b = root[left[alive]], root[right[alive]]
+        best = np.full(n, len(left))
+        np.minimum.at(best, a, alive)
+        np.minimum.at(best, b, alive)
+        taken = np.unique(best[best < len(left)])
+        chosen.append(taken)
+        root = forest(np.concatenate([root[left[taken]], np.arange(n)]), np.concatenate([root[right[taken]], root]), n)
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+
+
+def _compare_wide(block: pa.Table, radius: int) -> pa.RecordBatch | None:
+    """The least spanning forest of a block's links by differing bits: whoever is joined by links of some closeness is joined by ones no worse."""
+    prints = np.stack([block.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+    nodes = block.column("node").to_numpy()
+    left = right = weight = np.zeros(0, np.int64)
+    for lo in range(0, len(prints), 256):
+        a, b = within(prints[lo : lo + 256], prints, radius)
+        keep = a + lo < b
+        a, b = a[keep] + lo, b[keep]
+        d = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
+        left, right, weight = np.concatenate([left, a]), np.concatenate([right, b]), np.concatenate([weight, d])
+        if len(left) > 1 << 19:
+            kept = spanning(left, right, weight, len(prints))
+            left, right, weight = left[kept], right[kept], weight[kept]
+    kept = spanning(left, right, weight, len(prints))
+    if not len(kept):
+        return None
+    x, y = nodes[left[kept]], nodes[right[kept]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, text_a, text_b) to those of the wanted Jaccard similarity of shingle sets."""
+    for batch in batches:
+        a, b = (set_of.to_pylist() for set_of in (batch.column(2), batch.column(3)))
+        sets = [(set(shingle_hashes(x, width)), set(shingle_hashes(y, width))) for x, y in zip(a, b)]
+        keep = [len(x & y) >= similarity * len(x | y) for x, y in sets]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def dealt_blocks(keyed: DataFrame, chunk: int) -> DataFrame:
+    """Rows of `keyed(bucket, id, ...)` with a block: buckets over `chunk` rows are cut into pairs of chunks, each pair a block."""
+    large = keyed.groupBy("bucket").count().where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    cut = keyed.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(mine, o) * F.col("chunks") + F.greatest(mine, o))
+    return cut.withColumn("block", F.explode(blocks)).drop("chunks").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every row: texts of `similarity` or more (Jaccard, on sets of shingles of `width` words) share a class.
+
+    A fingerprint of 64 bits cannot tell 0.8 from chance at a small radius, so fingerprints have WIDE words; buckets are samples of their bits; a bucket is compared bit-sliced; and what it
+    finds is held against the texts themselves. A pair at exactly the wanted similarity is missed with a chance of about MISS.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _wide_batches(it, width), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
+    nodes = stored(prints.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")))
+    known = nodes.where("node IS NOT NULL")
+    samples, radius = bit_samples(known.count(), similarity), radius_of(similarity)
+    keys = [F.xxhash64(F.lit(i), *[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, masks)]) for i, masks in enumerate(samples)]
+    dealt = dealt_blocks(known.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
+    found = stored(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = stored(texts.join(wanted, "id", "left_semi"))
+    pairs = found.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar_batches(it, width, similarity), "a long, b long").distinct()
+    labels = components(links)
+    of_print = nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
+    return prints.join(of_print, names).select("doc_id", F.col("component_id").cast(kind).alias("component_id"))
+
+
 def hex_digits(fp):
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each class: that of the least doc_id, and of its repeats the least by all columns' hash; else as `docs`."""
-    found = classes(docs, width, radius)
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each near-duplicate class: that of the least doc_id, and of its repeats any one; columns as in `docs`."""
+    found = near_classes(docs, width, similarity)
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])
