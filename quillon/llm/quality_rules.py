@@ -140,7 +140,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str = "qualit
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     s = F.col("s")
-    known = texts.select("doc_id", "y", statistics(F.col("text")).alias("s"))
+    # stored first: a filter on the statistics would otherwise move below the join and compute them for every document
+    known = stored(texts.select("doc_id", "y", statistics(F.col("text")).alias("s")))
     return known.where(~base_failed(s)).select(
         (F.col("y") == 0).alias("bad"),
         (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("prune")), F.lit(3)) == 0).alias("for_pruning"),
