@@ -384,12 +384,12 @@ def spans_of(d: Detector, text: str = "text", languages: Column | None = None) -
             m["start"].alias("start"), m["end"].alias("end"), F.lit(d.entity).alias("entity_type"), m["text"].alias("text"), F.lit(float(d.score)).alias("score"), F.lit(d.tag).alias("recognizer"),
             F.expr(f"CAST(map({meta}) AS map<string,string>)").alias("metadata"),
         ))
-    needed, tests = d.needs or literals(source), []
+    needed, tests = d.needs or (() if d.build else literals(source)), []
     if languages is not None and d.languages:
         tests.append(f"array_contains(languages, '{d.languages[0]}')")
     if needed:
         tests.append("(" + " OR ".join(f"contains({LOWER}, {quoted(n)})" for n in needed) + ")")
-    if d.build or needs_digit(source):
+    if d.entity in ("IBAN", "RIB") or needs_digit(source):
         tests.append(DIGIT)
     return F.when(F.expr(" AND ".join(tests)), F.coalesce(found, empty())).otherwise(empty()) if tests else F.coalesce(found, empty())
 

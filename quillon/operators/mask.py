@@ -71,7 +71,8 @@ def rewritten(text: Column, spans: Column, clean_orphans: bool = True) -> Column
     out = F.aggregate(spans, state, step, end)
     if clean_orphans:
         for p in (W.TRAILING_LETTER, W.ADJACENT_LETTER):
-            out = F.regexp_replace(out, F.lit(to_java(p, 1).pattern), F.lit("$1"))
+            java = to_java(p, 1)
+            out = F.regexp_replace(out, F.lit(java.pattern), F.lit(f"${java.value[0]}"))
     return out
 
 
