@@ -1,9 +1,9 @@
 """Token ids in length-delimited binary records.
 
 A record file holds, for each sequence: its length (8 bytes, little-endian), a masked checksum of those 8 bytes (4), the payload,
-a masked checksum of the payload (4). The payload is the key (8 bytes, signed) and the ids (4 bytes each, unsigned). The checksum is
+a masked checksum of the payload (4). The payload is the key (8 bytes, signed) and the ids (unsigned, 2 bytes each if the vocabulary has at most 65,536 ids, else 4; the index says which). The checksum is
 CRC-32, rotated right by 15 bits plus a constant, so that checksums of data which itself holds checksums stay sound. An index file
-beside it holds a header and 24 bytes per record (offset, payload length, number of ids), so that a reader
+beside it holds a header with the width of an id and 24 bytes per record (offset, payload length, number of ids), so that a reader
 can pick records in any order without passing through the rest.
 
 Rows are range-partitioned by doc_id, so file order and order within files give ascending ids. A task writes
@@ -64,38 +64,81 @@ def unframe(data: bytes | memoryview, at: int) -> tuple[memoryview, int]:
     return payload, at + 16 + n
 
 
+#: Characters that the pre-tokenizer always parts from a letter or digit before them.
+TAIL = b".,;:!?"
+#: Words encoded in one call of the library.
+TOGETHER = 2000
+
+
 class WordTokenizer:
-    """The library's tokenizer called once per distinct word.
+    """The library's tokenizer, called on distinct words only.
 
-    Its normaliser and pre-tokenizer never reach across white space, which they drop, so the ids of a text are those of its
-    words in order; the memo holds them as little-endian bytes.
+    Its normaliser and pre-tokenizer never reach across white space, which they drop, and part final marks from the letter or
+    digit before them; so the ids of a text are those of its words in order. New words go through the library many at a time, as one text; the
+    offsets of its tokens tell the words apart. A bounded memo, kept by the worker process, holds the ids of words as little-endian bytes.
     """
 
     def __init__(self, text: str):
         self.library = Tokenizer.from_str(text)
         self.library.encode_special_tokens = True
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
 
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        got = self.library.encode(" ".join(texts), add_special_tokens=False)
+        if not got.ids:
+            return [b""] * len(words)
+        ids = np.array(got.ids, f"<u{self.width}")
+        first = np.searchsorted(np.array(got.offsets)[:, 0], starts, side="left")
+        return [ids[a:b].tobytes() for a, b in zip(first, [*first[1:], len(ids)])]
+
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        got = self.library.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
+        """Ids of distinct words; what is left after a word's final marks are cut off is looked up and encoded on its own."""
+        cut = {}
+        for w in words:
+            stem = w.rstrip(TAIL)
+            if len(stem) < len(w) and stem and stem[-1:].isalnum():
+                cut[w] = (stem, w[len(stem) :])
+        parts = {p for w in words for p in cut.get(w, (w,))}
+        known = {p: self.memo[p] for p in parts if p in self.memo}
+        new = sorted(parts - known.keys())
+        for lo in range(0, len(new), TOGETHER):
+            known.update(zip(new[lo : lo + TOGETHER], self._together(new[lo : lo + TOGETHER])))
+        self.stems = {p: known[p] for p in new if len(p) <= MEMO_BYTES}
+        return {w: b"".join([known[p] for p in cut.get(w, (w,))]) for w in words}
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit numbers, the end id last."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        """Per text its ids as little-endian unsigned numbers of `width` bytes, the end id last."""
+        # the library lower-cases; doing so for A-Z here only makes more words equal
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         new = set().union(*split) - self.memo.keys() if split else set()
         found = self.encode_words(list(new)) if new else {}
         if len(self.memo) + len(found) > MEMO:
             self.memo = {w: self.memo[w] for w in set().union(*split) if w in self.memo}
         memo = self.memo
-        memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_BYTES)
-        long = {w: i for w, i in found.items() if len(w) > MEMO_BYTES}
-        if long:
-            return [b"".join([*(memo[w] if w in memo else long[w] for w in words), end]) for words in split]
+        if found:
+            memo.update(self.stems)
+            memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_BYTES)
+        if any(len(w) > MEMO_BYTES for w in found):
+            return [b"".join([*(memo[w] if w in memo else found[w] for w in words), end]) for words in split]
         get = memo.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
+_tokenizers: dict[int, WordTokenizer] = {}
+
+
+def tokenizer_of(text: str) -> WordTokenizer:
+    """One tokenizer and memo per worker process."""
+    key = hash(text)
+    if key not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[key] = WordTokenizer(text)
+    return _tokenizers[key]
+
+
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) in order to one record file and its index; yields the manifest row."""
     from pyspark import TaskContext
@@ -103,7 +146,9 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     part = TaskContext.get().partitionId()
     store, base = fs.FileSystem.from_uri(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}"
-    encoder, end, n, tokens, offset, index = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes(), 0, 0, 0, []
+    encoder, n, tokens, offset, index = tokenizer_of(tokenizer), 0, 0, 0, []
+    width = encoder.width
+    end = np.array([end_id], f"<u{width}").tobytes()
     out = None
     for batch in batches:
         for lo in range(0, len(batch), 512):
@@ -114,13 +159,13 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
                 payload = struct.pack("<q", NULL_KEY if key is None else key) + data
                 record = frame(payload)
                 out.write(record)
-                index.append((offset, len(payload), len(data) // 4))
-                offset, n, tokens = offset + len(record), n + 1, tokens + len(data) // 4
+                index.append((offset, len(payload), len(data) // width))
+                offset, n, tokens = offset + len(record), n + 1, tokens + len(data) // width
     if out is None:
         return
     out.close()
     with store.open_output_stream(f"{base}/{name}.idx") as side:
-        side.write(MAGIC + struct.pack("<Q", n) + np.array(index, "<u8").tobytes())
+        side.write(MAGIC + struct.pack("<II", n, width) + np.array(index, "<u8").tobytes())
     store.move(f"{base}/{name}.tmp", f"{base}/{name}.rec")
     yield pa.RecordBatch.from_arrays(
         [pa.array([part]), pa.array([name]), pa.array([n]), pa.array([tokens]), pa.array([offset])], names=["part", "file", "n_records", "n_ids", "n_bytes"]
@@ -150,30 +195,30 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, pa
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_index(store: fs.FileSystem, path: str) -> np.ndarray:
-    """Rows (offset, payload length, number of ids) of an index file."""
+def read_index(store: fs.FileSystem, path: str) -> tuple[np.ndarray, int]:
+    """Rows (offset, payload length, number of ids) of an index file, and the width of an id."""
     with store.open_input_file(path) as f:
         data = f.read()
-    (n,) = struct.unpack("<Q", data[8:16])
+    n, width = struct.unpack("<II", data[8:16])
     if data[:8] != MAGIC or len(data) != 16 + 24 * n:
         raise ValueError(f"{path} is no index")
-    return np.frombuffer(data, "<u8", offset=16).reshape(n, 3)
+    return np.frombuffer(data, "<u8", offset=16).reshape(n, 3), width
 
 
-def read_at(store: fs.FileSystem, path: str, offset: int, length: int) -> tuple[int | None, np.ndarray]:
+def read_at(store: fs.FileSystem, path: str, offset: int, length: int, width: int) -> tuple[int | None, np.ndarray]:
     """One record picked through the index: its key and ids."""
     with store.open_input_file(path) as f:
         f.seek(int(offset))
         payload, _ = unframe(f.read(int(length) + 16), 0)
     (key,) = struct.unpack("<q", payload[:8])
-    return None if key == NULL_KEY else key, np.frombuffer(payload[8:], "<u4")
+    return None if key == NULL_KEY else key, np.frombuffer(payload[8:], f"<u{width}").astype(np.int64)
 
 
 def _read_parts(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     store, base = fs.FileSystem.from_uri(folder)
     for batch in batches:
         for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            index = read_index(store, f"{base}/{name}.idx")
+            index, width = read_index(store, f"{base}/{name}.idx")
             with store.open_input_file(f"{base}/{name}.rec") as f:
                 for lo in range(0, len(index), 4096):
                     part = index[lo : lo + 4096]
@@ -185,11 +230,12 @@ def _read_parts(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool)
                         payload, at = unframe(data, at)
                         (key,) = struct.unpack("<q", payload[:8])
                         keys.append(None if key == NULL_KEY else key)
-                        sums.append(crc32(payload[8:]))
+                        found = np.frombuffer(payload[8:], f"<u{width}")
+                        sums.append(crc32(found.astype("<u4").tobytes()))
                         if with_ids:
-                            ids.append(np.frombuffer(payload[8:], "<u4").astype(np.int64))
+                            ids.append(found.astype(np.int64))
                     n = part[:, 2].astype(np.int64)
-                    if at != stop - first or any(4 * int(c) + 8 != int(b) for b, c in part[:, 1:]):
+                    if at != stop - first or any(width * int(c) + 8 != int(b) for b, c in part[:, 1:]):
                         raise ValueError(f"{name}: index and records differ")
                     starts = start + np.cumsum(n) - n
                     start = int(starts[-1] + n[-1])
