@@ -81,6 +81,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(rows: DataFrame, limit: int) -> DataFrame:
+    """`rows` marked for broadcast if a count shows that they are at most `limit`, else as they are, for a join by shuffle."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most `limit` rows, those whose hashed key is least: the same rows in every run."""
     return rows.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(limit)

@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import small, stored
 
 #: Fingerprints compared in one block at most, and gathered into one block at least where buckets are small.
 CHUNK, GATHER = 8192, 512
+#: Rows up to which a counted table is broadcast: large buckets (12 bytes a row), ids of texts to be compared (8 bytes a row).
+LARGE, WANTED = 200_000, 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> list[int]:
@@ -259,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id of the class) for every row."""
     prints = stored(fingerprints(docs, width))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.col("fp")).alias("_")).select("fp", "least"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # a node is known by its fingerprint, so that rows without an id still link
     found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
     labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -374,8 +376,9 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity:
 
 def dealt_blocks(keyed: DataFrame, chunk: int) -> DataFrame:
     """Rows of `keyed(bucket, id, ...)` with a block: buckets over `chunk` rows are cut into pairs of chunks, each pair a block."""
-    large = keyed.groupBy("bucket").count().where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    cut = keyed.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    large = stored(keyed.groupBy("bucket").count().where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
+    # at most one bucket in `chunk` rows is large: up to LARGE of them (12 bytes each) are sent to all tasks, which saves a shuffle of all rows
+    cut = keyed.join(small(large, LARGE), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(mine, o) * F.col("chunks") + F.greatest(mine, o))
     return cut.withColumn("block", F.explode(blocks)).drop("chunks").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
@@ -397,8 +400,8 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     dealt = dealt_blocks(known.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
     found = stored(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = stored(texts.join(wanted, "id", "left_semi"))
+    wanted = stored(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    involved = stored(texts.join(small(wanted, WANTED), "id", "left_semi"))
     pairs = found.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar_batches(it, width, similarity), "a long, b long").distinct()
     labels = components(links)
