@@ -35,7 +35,7 @@ from quillon.llm.common import id_residue, stored
 DEPTH, END = 6, 10
 MAX_GRAMS = 1 << 20
 #: Bytes of text counted or scored at once, and entries a task gathers before it hands them on.
-SLAB, GATHERED = 1 << 22, 1 << 21
+SLAB, GATHERED = 1 << 20, 1 << 21
 
 
 def normal(text: str | None) -> bytes:
