@@ -291,9 +291,11 @@ def wide_fingerprint(hashes: set[int]) -> np.ndarray:
 
 
 def _wide_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a text to rows with a wide fingerprint in its place."""
     for batch in batches:
-        prints = np.array([wide_fingerprint(set(shingle_hashes(t.as_py(), width))) for t in batch.column(1)], np.uint64).reshape(len(batch), WIDE).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(WIDE))], names=["doc_id", *(f"f{k}" for k in range(WIDE))])
+        *others, texts = batch.columns
+        prints = np.array([wide_fingerprint(set(shingle_hashes(t.as_py(), width))) for t in texts], np.uint64).reshape(len(batch), WIDE).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*others, *(pa.array(prints[:, k]) for k in range(WIDE))], names=[*batch.schema.names[:-1], *(f"f{k}" for k in range(WIDE))])
 
 
 def expected_bits(similarity: float) -> float:
@@ -384,29 +386,43 @@ def dealt_blocks(keyed: DataFrame, chunk: int) -> DataFrame:
     return cut.withColumn("block", F.explode(blocks)).drop("chunks").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
 
 
-def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every row: texts of `similarity` or more (Jaccard, on sets of shingles of `width` words) share a class.
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for every row, stored so that it stays the same, and the name of that column."""
+    name, taken = "row_id", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def near_rows(rows: DataFrame, row_id: str, width: int, similarity: float) -> DataFrame:
+    """node (the number of the row), doc_id, label (a node of its class) of every row: texts of `similarity` or more (Jaccard, on sets of shingles of `width` words)
+    share a class.
 
     A fingerprint of 64 bits cannot tell 0.8 from chance at a small radius, so fingerprints have WIDE words; buckets are samples of their bits; a bucket is compared bit-sliced; and what it
     finds is held against the texts themselves. A pair at exactly the wanted similarity is missed with a chance of about MISS.
     """
     names = [f"f{k}" for k in range(WIDE)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _wide_batches(it, width), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
-    nodes = stored(prints.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")))
-    known = nodes.where("node IS NOT NULL")
-    samples, radius = bit_samples(known.count(), similarity), radius_of(similarity)
+    texts = rows.select(F.col(row_id).alias("id"), "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = stored(texts.mapInArrow(lambda it: _wide_batches(it, width), f"id long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
+    nodes = stored(prints.groupBy(*names).agg(F.min("id").alias("node")))
+    samples, radius = bit_samples(nodes.count(), similarity), radius_of(similarity)
     keys = [F.xxhash64(F.lit(i), *[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, masks)]) for i, masks in enumerate(samples)]
-    dealt = dealt_blocks(known.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
+    dealt = dealt_blocks(nodes.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
     found = stored(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     wanted = stored(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    involved = stored(texts.join(small(wanted, WANTED), "id", "left_semi"))
+    involved = stored(texts.select("id", "text").join(small(wanted, WANTED), "id", "left_semi"))
     pairs = found.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar_batches(it, width, similarity), "a long, b long").distinct()
-    labels = components(links)
-    of_print = nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
-    return prints.join(of_print, names).select("doc_id", F.col("component_id").cast(kind).alias("component_id"))
+    of_print = nodes.join(components(links), "node", "left").select(*names, F.coalesce("label", "node").alias("label"))
+    return prints.join(of_print, names).select(F.col("id").alias("node"), "doc_id", "label")
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the least doc_id of the class, null where no row of it has one) of every row."""
+    found = stored(near_rows(*with_row_ids(docs), width, similarity))
+    named = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, "label").select("doc_id", "component_id")
 
 
 def hex_digits(fp):
@@ -415,8 +431,12 @@ def hex_digits(fp):
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate class: that of the least doc_id, and of its repeats any one; columns as in `docs`."""
-    found = near_classes(docs, width, similarity)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate class: one of the least doc_id, nulls last; columns as in `docs`.
+
+    A row is known by a number of its own: rows without an id, and rows that share one, stay if their texts differ.
+    """
+    rows, row_id = with_row_ids(docs)
+    found = near_rows(rows, row_id, width, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "node"))["node"]
+    chosen = stored(found.groupBy("label").agg(first.alias(row_id)).select(row_id))
+    return rows.join(small(chosen, WANTED), row_id, "left_semi").drop(row_id)

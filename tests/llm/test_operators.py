@@ -160,6 +160,18 @@ def test_near_duplicates_at_the_similarity(spark):
     assert kept == {3 * i for i in range(60)} | {3 * i + 2 for i in range(60)} | {None}
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    odd = [(None, prose(80, 7000 + i)) for i in range(6)] + [(5, prose(80, 7100 + i)) for i in range(4)]
+    near = [(None, odd[0][1] + " extra"), (3, odd[1][1]), (5, odd[6][1]), (9, odd[7][1] + " extra")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(odd + near)], "doc_id long, text string, row_id int").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # one of the two without an id that are alike, the one with an id of two alike, and of equal ids every text once
+    alike = [x for x in got if x in (odd[0], near[0])]
+    assert len(alike) == 1 and Counter(x for x in got if x not in alike) == Counter([near[1], *odd[2:]])
+
+
 def test_context_tree(spark, docs, none):
     got = context_tree.score(docs, depth=3).collect()
     data = [(i, (t or "").encode().lower().split()) for i, t, *_ in rows()]
