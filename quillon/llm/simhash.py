@@ -276,6 +276,8 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 WIDE, MISS = 4, 0.02
 #: Fingerprints compared in one block at most when they are wide.
 WIDE_CHUNK = 4096
+#: Rows and bytes of text in about one chunk of a family compared by its texts, and members of a larger family that all its chunks meet first.
+FAMILY_ROWS, FAMILY_BYTES, PIVOTS = 2048, 16 << 20, 64
 
 
 def wide_fingerprint(hashes: set[int]) -> np.ndarray:
@@ -347,7 +349,7 @@ def spanning(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 def _compare_wide(block: pa.Table, radius: int) -> pa.RecordBatch | None:
-    """The least spanning forest of a block's links by differing bits: whoever is joined by links of some closeness is joined by ones no worse."""
+    """The least spanning forest of a block's links by differing bits: it joins the families in which texts are compared."""
     prints = np.stack([block.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
     nodes = block.column("node").to_numpy()
     left = right = weight = np.zeros(0, np.int64)
@@ -367,13 +369,109 @@ def _compare_wide(block: pa.Table, radius: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) to those of the wanted Jaccard similarity of shingle sets."""
-    for batch in batches:
-        a, b = (set_of.to_pylist() for set_of in (batch.column(2), batch.column(3)))
-        sets = [(set(shingle_hashes(x, width)), set(shingle_hashes(y, width))) for x, y in zip(a, b)]
-        keep = [len(x & y) >= similarity * len(x | y) for x, y in sets]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have the Jaccard similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < similarity * len(y):  # not even if one holds the other
+        return False
+    if not len(x):
+        return True
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+def _compare_texts(block: pa.Table, radius: int, width: int, similarity: float) -> pa.RecordBatch | None:
+    """A spanning forest of a block's pairs of the similarity: every pair within the radius is held against the texts, unless its ends are joined already."""
+    prints = np.stack([block.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+    nodes, labels, texts = block.column("node").to_numpy(), block.column("label").to_numpy(), block.column("text")
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i].as_py(), width)
+        return sets[i]
+
+    # rows of one label are joined beforehand
+    _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+    root = first[group].tolist()
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    lefts, rights = [], []
+    for lo in range(0, len(prints), 64):
+        a, b = within(prints[lo : lo + 64], prints, radius)
+        keep = a + lo < b
+        a, b = a[keep] + lo, b[keep]
+        for at in np.argsort(np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1), kind="stable"):
+            i, j = int(a[at]), int(b[at])
+            x, y = find(i), find(j)
+            if x != y and similar(set_of(i), set_of(j), similarity):
+                root[max(x, y)] = min(x, y)
+                lefts.append(i)
+                rights.append(j)
+    if not lefts:
+        return None
+    x, y = nodes[lefts], nodes[rights]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _compare_members(members: DataFrame, radius: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) among rows `members(family, node, label, f0.., text, chunks, outer, chunks_outer)`.
+
+    Each outer row meets every row of its family: the blocks of a family are pairs of a chunk of its outer rows and a chunk of all its rows.
+    """
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    as_outer = F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks_outer")).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.col("chunks_outer") - 1), lambda o: o * F.col("chunks") + mine)
+    across = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: as_outer * F.col("chunks") + c)
+    blocks = F.when(F.col("outer"), F.array_union(own, across)).otherwise(own)
+    dealt = (
+        members.withColumn("block", F.explode(blocks)).select(F.col("family").alias("bucket"), "block", "node", "label", *[f"f{k}" for k in range(WIDE)], "text")
+        .repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    )
+    return dealt.mapInArrow(lambda it: _block_links(it, radius, lambda block, r: _compare_texts(block, r, width, similarity)), "a long, b long").distinct()
+
+
+def similar_links(found: DataFrame, nodes: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join just the nodes joined by pairs of the similarity, given `found(a, b)` that join those joined by pairs within the radius.
+
+    A family is what `found` joins; every pair within the radius lies in one. Families of one chunk are compared whole. In a larger one about PIVOTS members first
+    meet all the others, which joins most of a true class; then all members outside the largest class found meet the whole family.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+    families = components(found).withColumnRenamed("label", "family")
+    picked = families.join(nodes, "node")
+    members = stored(texts.join(small(families.select(F.col("node").alias("id")), WANTED), "id", "left_semi").join(picked, F.col("id") == F.col("node")).select("family", "node", *names, "text"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("n") / FAMILY_ROWS, F.col("bytes") / FAMILY_BYTES)).cast("int")
+    large = stored(sizes.withColumn("chunks", F.greatest(chunks, F.lit(1))).where("chunks > 1").select("family", "n", "chunks"))
+    cut = members.join(small(large, LARGE), "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("n") / PIVOTS)) == 0)
+    first = cut.select("family", "node", F.col("node").alias("label"), *names, "text", "chunks", F.coalesce(pivot, F.lit(False)).alias("outer"), F.lit(1).alias("chunks_outer"))
+    links = stored(_compare_members(first, radius, width, similarity))
+    if large.isEmpty():
+        return links
+    in_large = families.join(small(large, LARGE), "family")
+    labelled = stored(in_large.join(components(links), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
+    classes_of = stored(labelled.groupBy("family", "label").agg(F.count("*").alias("size")))
+    most = classes_of.groupBy("family").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n"))
+    # as many chunks of outer rows as rows of the family would fill in proportion
+    split = stored(most.join(large.select("family", "chunks"), "family").where("n > top.size").select("family", "chunks", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.size")) * F.col("chunks") / F.col("n")).cast("int").alias("chunks_outer")))
+    if split.isEmpty():
+        return links
+    split_labels = labelled.join(small(split, LARGE), "family").select("node", "label", "chunks", "chunks_outer", (F.col("label") != F.col("top")).alias("outer"))
+    again = members.join(small(split_labels, WANTED), "node").select("family", "node", "label", *names, "text", "chunks", "outer", "chunks_outer")
+    return stored(links.unionByName(_compare_members(again, radius, width, similarity)))
 
 
 def dealt_blocks(keyed: DataFrame, chunk: int) -> DataFrame:
@@ -398,8 +496,8 @@ def near_rows(rows: DataFrame, row_id: str, width: int, similarity: float) -> Da
     """node (the number of the row), doc_id, label (a node of its class) of every row: texts of `similarity` or more (Jaccard, on sets of shingles of `width` words)
     share a class.
 
-    A fingerprint of 64 bits cannot tell 0.8 from chance at a small radius, so fingerprints have WIDE words; buckets are samples of their bits; a bucket is compared bit-sliced; and what it
-    finds is held against the texts themselves. A pair at exactly the wanted similarity is missed with a chance of about MISS.
+    A fingerprint of 64 bits cannot tell 0.8 from chance at a small radius, so fingerprints have WIDE words; buckets are samples of their bits; a bucket is compared bit-sliced; and in the
+    families that this joins every pair within the radius is held against the texts themselves. A pair at exactly the wanted similarity is missed with a chance of about MISS.
     """
     names = [f"f{k}" for k in range(WIDE)]
     texts = rows.select(F.col(row_id).alias("id"), "doc_id", "text")
@@ -410,10 +508,7 @@ def near_rows(rows: DataFrame, row_id: str, width: int, similarity: float) -> Da
     keys = [F.xxhash64(F.lit(i), *[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, masks)]) for i, masks in enumerate(samples)]
     dealt = dealt_blocks(nodes.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
     found = stored(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct())
-    wanted = stored(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    involved = stored(texts.select("id", "text").join(small(wanted, WANTED), "id", "left_semi"))
-    pairs = found.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar_batches(it, width, similarity), "a long, b long").distinct()
+    links = similar_links(found, nodes, texts.select("id", "text"), radius, width, similarity)
     of_print = nodes.join(components(links), "node", "left").select(*names, F.coalesce("label", "node").alias("label"))
     return prints.join(of_print, names).select(F.col("id").alias("node"), "doc_id", "label")
 

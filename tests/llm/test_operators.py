@@ -172,6 +172,44 @@ def test_rows_without_an_id_of_their_own_stay(spark):
     assert len(alike) == 1 and Counter(x for x in got if x not in alike) == Counter([near[1], *odd[2:]])
 
 
+def edited_families(families, size, length=400):
+    """Copies of texts with 4 to 9 words edited each, many of them alike at just about 0.8."""
+    data = []
+    for f in range(families):
+        w, rng = prose(length, 8000 + f).split(), np.random.default_rng(f)
+        for i in range(size):
+            copy = w[:]
+            for at in rng.choice(length, rng.integers(4, 10), replace=False):
+                copy[at] = f"edit{rng.integers(1 << 30)}"
+            data.append((1000 * f + i, " ".join(copy)))
+    return data
+
+
+def brute_classes(texts, similarity=0.8, width=5):
+    """The least index that each text reaches by pairs of the similarity."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if group[i] != group[j] and len(x & y) >= similarity * len(x | y):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("chunk", [2048, 40])
+def test_near_duplicates_of_large_families(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", chunk)
+    monkeypatch.setattr(simhash, "PIVOTS", 5)
+    data = edited_families(4, 100)
+    want = {data[i][0]: data[g][0] for i, g in enumerate(brute_classes([t for _, t in data]))}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 4 and got == want
+
+
 def test_context_tree(spark, docs, none):
     got = context_tree.score(docs, depth=3).collect()
     data = [(i, (t or "").encode().lower().split()) for i, t, *_ in rows()]
