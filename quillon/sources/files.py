@@ -63,13 +63,16 @@ def read_entries(spark: SparkSession, path: str, stops: str | None = None) -> Da
     return out
 
 
-def dictionary_spans(docs: DataFrame, entries: DataFrame, entity: str, tag: str, score: float, words: int = 4) -> DataFrame:
+def dictionary_spans(docs: DataFrame, entries: DataFrame, entity: str, tag: str, score: float, words: int | None = None) -> DataFrame:
     """doc_id and spans of listed entries, for lists too large for a pattern: n-grams of each text joined to the entries by hash.
 
-    Case is folded; an entry has at most `words` words.
+    Case is folded; n-grams have up to `words` words, as many as the longest entry unless a caller says otherwise.
     """
+    word = r"[^\s,.;:()\"]+"
+    if words is None:
+        words = max(entries.agg(F.max(F.regexp_count("entry", F.lit(word)))).first()[0] or 1, 1)
     t = F.coalesce("text", F.lit(""))
-    words_at = docs.select("doc_id", t.alias("text"), matches(t, r"[^\s,.;:()\"]+").alias("t"))
+    words_at = docs.select("doc_id", t.alias("text"), matches(t, word).alias("t"))
     grams = words_at.select(
         "doc_id", "text",
         F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.struct(x["start"].alias("start"), F.get("t", i + k)["end"].alias("end")))))).alias("g"),

@@ -172,3 +172,12 @@ def test_whole_run_and_stream(spark, tmp_path):
     q = stream.start(stream.read(spark, str(tmp_path / "in")), lambda df, n: seen.extend(df.select("doc_id", "anonymized_text").collect()), str(tmp_path / "state"), o)
     q.awaitTermination(120)
     assert {r["doc_id"]: r["anonymized_text"] for r in seen} == {k: v["anonymized_text"] for k, v in done.items()}
+
+
+def test_dictionary_spans_of_long_entries(spark):
+    name = "Ministry of the Interior and of Sport"
+    docs = spark.createDataFrame([(1, f"The {name} wrote."), (2, "Sport of the Ministry")], "doc_id long, text string")
+    entries = spark.createDataFrame([(name,), ("Sport",)], "entry string")
+    got = [(r["doc_id"], r["start"], r["text"]) for r in files.dictionary_spans(docs, entries, "ORG", "LIST", 0.5).collect()]
+    assert sorted(got) == [(1, 4, name), (1, 4 + name.index("Sport"), "Sport"), (2, 0, "Sport")]
+    assert files.dictionary_spans(docs, entries.limit(0), "ORG", "LIST", 0.5).count() == 0
