@@ -7,7 +7,7 @@
 3. A bucket is compared bit-sliced: 64 bit planes stand vertically, one machine word holding one bit of 64
    fingerprints; a carry-save adder counts differing bits, and blocks whose 64 lanes all exceed the radius are abandoned.
    Buckets over CHUNK fingerprints are cut into pairs of chunks, compared by different tasks.
-4. Each task returns a spanning forest of the links it found; min-label propagation with pointer jumping joins them.
+4. Each task returns a forest of stars that joins what its links join; min-label propagation with pointer jumping joins them.
 
 Defined results: a text without words has fingerprint 0 and links like any other; a text of fewer words than a
 shingle is one shingle; repeated rows fall together by equal fingerprints; rows with a null id get the class of
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import small, stored
@@ -173,20 +173,22 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _compare(block: pa.Table, radius: int) -> pa.RecordBatch | None:
-    prints = block.column("fp").to_numpy().view(np.uint64)
-    nodes = block.column("node").to_numpy()
-    lefts, rights = [], []
-    for lo in range(0, len(prints), 2048):
-        a, b = within(prints[lo : lo + 2048], prints, radius)
+def _stars(prints: np.ndarray, nodes: np.ndarray, radius: int) -> pa.RecordBatch | None:
+    """A link (a, b) from each node to the first that it reaches within the block. Links are folded as they are found, so a dense block holds no more than those of 256 queries."""
+    root = np.arange(len(prints))
+    for lo in range(0, len(prints), 256):
+        a, b = within(prints[lo : lo + 256], prints, radius)
         keep = a + lo < b
-        lefts.append(a[keep] + lo)
-        rights.append(b[keep])
-    root = forest(np.concatenate(lefts), np.concatenate(rights), len(prints))
+        linked = np.flatnonzero(root != np.arange(len(prints)))
+        root = forest(np.concatenate([linked, a[keep] + lo]), np.concatenate([root[linked], b[keep]]), len(prints))
     linked = root != np.arange(len(prints))
     if not linked.any():
         return None
-    return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], names=["a", "b"])
+
+
+def _compare(block: pa.Table, radius: int) -> pa.RecordBatch | None:
+    return _stars(block.column("fp").to_numpy().view(np.uint64), block.column("node").to_numpy(), radius)
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], radius: int, compare) -> Iterator[pa.RecordBatch]:
@@ -327,46 +329,20 @@ def bit_samples(n: int, similarity: float, seed: int = 11) -> list[list[int]]:
     return out
 
 
-def spanning(left: np.ndarray, right: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Indices of the links of a least spanning forest: every component takes its least link outward until none is left."""
-    root, chosen = np.arange(n), []
-    order = np.argsort(weight, kind="stable")
-    left, right = left[order], right[order]
-    alive = np.arange(len(left))
-    while len(alive):
-        a, b = root[left[alive]], root[right[alive]]
-        alive = alive[a != b]
-        if not len(alive):
-            break
-        a, b = root[left[alive]], root[right[alive]]
-        best = np.full(n, len(left))
-        np.minimum.at(best, a, alive)
-        np.minimum.at(best, b, alive)
-        taken = np.unique(best[best < len(left)])
-        chosen.append(taken)
-        root = forest(np.concatenate([root[left[taken]], np.arange(n)]), np.concatenate([root[right[taken]], root]), n)
-    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+def _compare_wide(block: pa.Table, radius: int) -> pa.RecordBatch | None:
+    """Links of a block that join the families in which texts are compared."""
+    block = block.sort_by("node")
+    return _stars(np.stack([block.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1), block.column("node").to_numpy(), radius)
 
 
-def _compare_wide(block: pa.Table, radius: int) -> pa.RecordBatch | None:
-    """The least spanning forest of a block's links by differing bits: it joins the families in which texts are compared."""
-    prints = np.stack([block.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
-    nodes = block.column("node").to_numpy()
-    left = right = weight = np.zeros(0, np.int64)
-    for lo in range(0, len(prints), 256):
-        a, b = within(prints[lo : lo + 256], prints, radius)
-        keep = a + lo < b
-        a, b = a[keep] + lo, b[keep]
-        d = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
-        left, right, weight = np.concatenate([left, a]), np.concatenate([right, b]), np.concatenate([weight, d])
-        if len(left) > 1 << 19:
-            kept = spanning(left, right, weight, len(prints))
-            left, right, weight = left[kept], right[kept], weight[kept]
-    kept = spanning(left, right, weight, len(prints))
-    if not len(kept):
-        return None
-    x, y = nodes[left[kept]], nodes[right[kept]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, that join the same nodes: a node keeps the edge to its least neighbour, and its other neighbours are joined to that one instead.
+
+    Blocks that met one family give many edges to few nodes; all but one a member fall together here.
+    """
+    least = edges.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    others = least.where("a > least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return least.select(F.col("least").alias("a"), "b").unionByName(others).distinct()
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -507,7 +483,7 @@ def near_rows(rows: DataFrame, row_id: str, width: int, similarity: float) -> Da
     samples, radius = bit_samples(nodes.count(), similarity), radius_of(similarity)
     keys = [F.xxhash64(F.lit(i), *[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in zip(names, masks)]) for i, masks in enumerate(samples)]
     dealt = dealt_blocks(nodes.select("node", *names, F.explode(F.array(*keys)).alias("bucket")), WIDE_CHUNK)
-    found = stored(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct())
+    found = stored(contracted(dealt.mapInArrow(lambda it: _block_links(it, radius, _compare_wide), "a long, b long").distinct()))
     links = similar_links(found, nodes, texts.select("id", "text"), radius, width, similarity)
     of_print = nodes.join(components(links), "node", "left").select(*names, F.coalesce("label", "node").alias("label"))
     return prints.join(of_print, names).select(F.col("id").alias("node"), "doc_id", "label")
