@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Pre-tokens that a worker remembers; an entry takes about 250 bytes.
-MEMO = 400_000
+MEMO = 200_000
 #: Pre-tokens over this many bytes are not remembered.
 MEMO_BYTES = 64
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

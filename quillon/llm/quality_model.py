@@ -27,7 +27,7 @@ from quillon.llm.common import bounded_sample, id_residue
 BITS = 18
 GRAMS = (3, 4)
 #: Words that a worker remembers, and the longest of which all n-grams are made; of longer words, words of this length are cut.
-MEMO, LONG = 400_000, 40
+MEMO, LONG = 200_000, 40
 
 
 def word_features(word: bytes) -> list[int]:
