@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample: the neighbour graph is built, cut into balanced parts with few edges between them, and a small network learns to
-tell a vector's part. Every row is then indexed under its most probable part, and a query goes to its most probable parts,
-as many as the sample needs for the wanted recall, where all candidates are ranked by exact inner product.
+On a bounded sample: the neighbour graph is built and cut into balanced parts with few edges between them, and a small network learns, for each
+vector, in which parts its neighbours lie. Every row is then indexed under its most probable part; a query goes to its most probable parts
+until they hold a share of its probability, the least share that finds the wanted recall on a part of the sample kept out of training, and all
+candidates there are ranked by exact inner product. The number of parts grows with the rows, up to one per PER_SAMPLE sampled vectors.
 
-Skew: a part is cut into chunks by hash of the id and queries into blocks, so a task holds at most about CHUNK candidates and
-BLOCK queries, however many rows are alike. Defined results: vectors that are null, zero, without components, or hold null or non-finite components, rows without
+Skew: a part is cut into chunks by hash of the id, and its queries into blocks, so a task holds at most about CHUNK candidates and BLOCK
+queries, however many rows are alike; candidates go only to blocks of queries that probe their part, and of equal vectors in a chunk only those that can be among the nearest are ranked.
+
+Defined results: vectors that are null, zero, without components, or hold null or non-finite components, rows without
 an id, and vectors not of the usual length take no part; a query's own id is never its neighbour; ties go to the smaller id; a
-repeated id is two candidates; with fewer candidates than asked for, all are returned; an empty table gives no rows.
+repeated id is two candidates; as a query it is asked once for each different vector, and each is ranked on its own; with fewer candidates
+than asked for, all are returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_sample, stored
 
-CHUNK, BLOCK = 16384, 4096
+#: Candidates and queries that meet in a task (8 bytes a component), rows per part, and sampled vectors per part at least.
+CHUNK, BLOCK, PER_PART, PER_SAMPLE = 32768, 8192, 2048, 32
 
 
 def usable(vector: Column) -> Column:
@@ -87,25 +92,35 @@ def balanced_parts(x: np.ndarray, neighbours: np.ndarray, parts: int, rounds: in
 
 @dataclass
 class Router:
-    """A network of one hidden layer from vector to part, and the parts a query goes to."""
+    """A network of one hidden layer from vector to the parts of its neighbours, and the share of probability that a query's parts must hold."""
 
     weights: list[np.ndarray]
     scale: float
-    probes: int
+    share: float
     width: int
     sample_recall: float
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
-        return np.maximum(x / self.scale @ w1 + b1, 0) @ w2 + b2
+        z = np.maximum(x / self.scale @ w1 + b1, 0) @ w2 + b2
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts by falling probability, and the probability of all before each."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, axis=1)
+        return order, np.cumsum(p, axis=1) - p
 
     @property
     def parts(self) -> int:
         return self.weights[3].shape[0]
 
 
-def _learn(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 96, epochs: int = 15) -> list[np.ndarray]:
-    """Adam on the cross entropy of the part."""
+def _learn(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 20) -> list[np.ndarray]:
+    """Adam on the cross entropy between the network's parts and `target`, each row's shares of the parts."""
+    parts = target.shape[1]
     w = [rng.normal(0, 1, (x.shape[1], hidden)) / np.sqrt(x.shape[1]) * 1.4, np.zeros(hidden), rng.normal(0, 0.1, (hidden, parts)), np.zeros(parts)]
     m, s = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     step, steps = 0, epochs * max(1, len(x) // 128)
@@ -118,8 +133,7 @@ def _learn(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Generator
             z = a @ w[2] + w[3]
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), part[at]] -= 1
-            p /= len(at)
+            p = (p - target[at]) / len(at)
             dh = (p @ w[2].T) * (h > 0)
             step += 1
             rate = 0.005 * max(0.05, 1 - step / (steps + 1))
@@ -130,10 +144,10 @@ def _learn(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Generator
     return w
 
 
-def fit(vectors: DataFrame, sample_rows: int = 8192, k: int = 20, recall: float = 0.96, per_part: int = 256, degree: int = 10, seed: int = 5) -> Router | None:
+def fit(vectors: DataFrame, sample_rows: int = 8192, k: int = 20, recall: float = 0.94, degree: int = 10, parts: int | None = None, seed: int = 5) -> Router | None:
     """Learn from at most `sample_rows` vectors: the bound on what the driver holds.
 
-    The probes are the fewest parts at which an eighth of the sample, kept out of the network's training, finds `recall` of its true neighbours in the sample.
+    The share that a query's parts must hold is the least one at which an eighth of the sample, kept out of the network's training, finds `recall` of its true neighbours in the sample.
     """
     rows = bounded_sample(vectors.select("vec_id", "embedding"), "vec_id", sample_rows).toArrow()
     found = [np.asarray(v, np.float64) for v in rows.column("embedding").to_pylist()]
@@ -144,52 +158,83 @@ def fit(vectors: DataFrame, sample_rows: int = 8192, k: int = 20, recall: float
     x = np.stack([v for v in found if len(v) == width])
     rng = np.random.default_rng(seed)
     scale = float(np.linalg.norm(x, axis=1).mean() / np.sqrt(width))
-    parts = int(np.clip(len(x) // per_part, 1, 32))
-    if parts == 1:
-        return Router([np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], scale, 1, width, 1.0)
-    part = balanced_parts(x, nearest(x, x, degree), parts)
+    wanted = parts or int(np.clip(vectors.count() // PER_PART, 4, max(4, len(x) // PER_SAMPLE)))
+    parts = min(wanted, len(x) // (k + 1))
+    if parts < 2:  # a part would not hold the candidates that are asked for
+        return Router([np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], scale, 1.0, width, 1.0)
+    graph = nearest(x, x, degree + 1)
+    part = balanced_parts(x, graph, parts)
+    target = np.eye(parts)[part][graph].mean(axis=1)
     out = rng.permutation(len(x))
     test, rest = out[: len(x) // 8], out[len(x) // 8 :]
-    router = Router(_learn(x[rest] / scale, part[rest], parts, rng), scale, parts, width, 1.0)
-    logits = router.logits(x)
-    home = logits.argmax(axis=1)
-    rank = np.empty((len(test), parts), np.int64)
-    np.put_along_axis(rank, np.argsort(-logits[test], axis=1), np.arange(parts)[None, :], axis=1)
+    router = Router(_learn(x[rest] / scale, target[rest], rng), scale, 1.0, width, 1.0)
+    home = router.probabilities(x).argmax(axis=1)
+    order, before = router.ranked(x[test])
+    share_of = np.empty_like(before)
+    np.put_along_axis(share_of, order, before, axis=1)
     true = nearest(x[test], x, k + 1)
-    need = np.where(true == test[:, None], -1, np.take_along_axis(rank, home[true], axis=1))
-    for probes in range(1, parts + 1):
-        got = (need[need >= 0] < probes).mean()
-        if got >= recall:
-            break
-    router.probes, router.sample_recall = probes, float(got)
+    need = np.take_along_axis(share_of, home[true], axis=1)[true != test[:, None]]
+    # a neighbour is found if the parts before its own hold less than the share
+    router.share = float(np.nextafter(np.quantile(need, recall, method="higher"), 2.0))
+    router.sample_recall = float((need < router.share).mean())
     return router
 
 
-def index(vectors: DataFrame, router: Router) -> DataFrame:
-    """vec_id, embedding and ranked parts (most probable first) of every row of the usual length."""
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def index(vectors: DataFrame, router: Router, is_query: Column) -> DataFrame:
+    """vec_id, embedding, part of every row of the usual length; `ranked` (parts by falling probability) and `probes` (how many of them it asks) for queries."""
     held = vectors.sparkSession.sparkContext.broadcast(router)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = held.value
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            ranked = np.argsort(-held.value.logits(x), axis=1, kind="stable").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(ranked), pa.list_(pa.int32()))], names=["vec_id", "embedding", "ranked"])
+            order, before = r.ranked(_matrix(batch.column(1), r.width))
+            probes = (before < r.share).sum(axis=1)
+            ranked = [o if asked else None for o, asked in zip(order.astype(np.int32), batch.column(2).to_pylist())]
+            columns = [batch.column(0), batch.column(1), pa.array(order[:, 0], pa.int32()), pa.array(ranked, pa.list_(pa.int32())), pa.array(probes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "part", "ranked", "probes"])
 
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") == router.width).mapInArrow(
-        run, f"vec_id {kind}, embedding array<double>, ranked array<int>"
-    )
+    kept = vectors.schema["embedding"].dataType.simpleString()
+    kept = kept if kept == "array<float>" else "array<double>"
+    rows = vectors.where(F.size("embedding") == router.width).select("vec_id", F.col("embedding").cast(kept).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return rows.mapInArrow(run, f"vec_id long, embedding {kept}, part int, ranked array<int>, probes int")
+
+
+def _best_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Indices of candidates without those of equal vectors that cannot be among a query's k best.
+
+    An id counts k times at most, and of the rest the 2k least ids leave k whichever id the query excludes.
+    """
+    order = np.lexsort((ids, *x.T[::-1]))
+    new = np.concatenate([[True], (x[order[1:]] != x[order[:-1]]).any(axis=1)])
+    if new.all():
+        return np.arange(len(ids))
+    new_id = new | np.concatenate([[True], ids[order[1:]] != ids[order[:-1]]])
+
+    def position(starts: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(starts)
+        return np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
+
+    few = position(new_id) < k
+    order, new = order[few], new[few]
+    return order[position(new) < 2 * k]
 
 
-def _rank(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
+def _rank(queries: pa.Table, candidates: pa.Table, k: int, width: int) -> pa.Table:
     """The k best candidates of each query in this group."""
-    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    kinds = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(queries) or not len(candidates):
         return kinds.empty_table()
-    qid, cid = queries.column("query_id").to_numpy(), candidates.column("vec_id").to_numpy()
-    q, c = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (queries, candidates))
+    row, qid, cid = queries.column("row").to_numpy(), queries.column("query_id").to_numpy(), candidates.column("vec_id").to_numpy()
+    q, c = _matrix(queries.column("embedding"), width), _matrix(candidates.column("embedding"), width)
+    kept = _best_of_equals(cid, c, k)
+    cid, c = cid[kept], c[kept]
     out = []
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ c.T
@@ -203,37 +248,37 @@ def _rank(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         exact = np.concatenate([(q[lo + i[a : a + 100_000]] * c[j[a : a + 100_000]]).sum(axis=1) for a in range(0, len(i), 100_000)] or [np.zeros(0)])
         order = np.lexsort((cid[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
-        first = np.searchsorted(i, i)
-        best = np.arange(len(i)) - first < k
-        out.append(pa.table([qid[lo + i[best]], cid[j[best]], exact[best]], schema=kinds))
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append(pa.table([row[lo + i[best]], qid[lo + i[best]], cid[j[best]], exact[best]], schema=kinds))
     return pa.concat_tables(out)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, **fitting) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | None = None, **fitting) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found of every query row against all other rows."""
     spark = vectors.sparkSession
     good = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    router = fit(good, k=k, **fitting)
+    router = router or fit(good, k=k, **fitting)
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stored(index(good, router))
-    sizes = {r["part"]: r["count"] for r in rows.groupBy(F.col("ranked")[0].alias("part")).count().collect()}
-    chunks = F.array(*[F.lit(-(-sizes.get(p, 0) // CHUNK)) for p in range(router.parts)])
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding", "ranked")
-    n_blocks = max(1, -(-asked.count() // BLOCK))
+    rows = stored(index(good, router, is_query))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
     # parts beyond the probes are added while those before them hold too few candidates
     size_of = F.array(*[F.lit(sizes.get(p, 0)).cast("long") for p in range(router.parts)])
     before = lambda i: F.aggregate(F.slice("ranked", 1, i), F.lit(0).cast("long"), lambda a, p: a + F.get(size_of, p))
-    taken = F.filter("ranked", lambda p, i: (i < router.probes) | (before(i) < 2 * k))
+    taken = F.filter("ranked", lambda p, i: (i < F.col("probes")) | (before(i) < 2 * k))
+    once = rows.where("ranked IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding", taken.alias("taken")).dropDuplicates(["query_id", "embedding"])
+    asked = stored(once.withColumn("row", F.monotonically_increasing_id()))
+    asking = {r["part"]: r["count"] for r in asked.select(F.explode("taken").alias("part")).groupBy("part").count().collect()}
+    chunks = F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // CHUNK))) for p in range(router.parts)])
+    blocks = F.array(*[F.lit(-(-asking.get(p, 0) // BLOCK)) for p in range(router.parts)])
     sent = (
-        asked.select("query_id", "embedding", F.explode(taken).alias("part"))
-        .select("query_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.get(chunks, "part"), F.lit(1)) - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"))
+        asked.select("row", "query_id", "embedding", F.explode("taken").alias("part"))
+        .select("row", "query_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.get(chunks, "part") - 1)).alias("chunk"), F.pmod(F.xxhash64("row"), F.get(blocks, "part")).cast("int").alias("block"))
     )
-    home = F.col("ranked")[0]
-    dealt = rows.select("vec_id", "embedding", home.alias("part")).select(
-        "vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.get(chunks, "part")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    dealt = rows.where(F.get(blocks, "part") > 0).select(
+        "vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.get(chunks, "part")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.get(blocks, "part") - 1)).alias("block")
     )
     keys = ["part", "chunk", "block"]
-    found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda a, b: _rank(a, b, k, router.width), "row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

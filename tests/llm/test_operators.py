@@ -284,6 +284,41 @@ def test_learned_partitions(spark):
     assert few.count() == 4 and learned_partitions.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_learned_partitions_probe_few_parts_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(64, 24)), 50, axis=0) + 0.15 * rng.normal(size=(3200, 24))
+    vectors = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<double>, part string")
+    router = learned_partitions.fit(vectors, parts=16)
+    got = learned_partitions.search(vectors, F.col("vec_id") % 20 == 0, router=router).collect()
+    s = x[::20] @ x.T
+    s[np.arange(160), np.arange(0, 3200, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.mean([len(found[20 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)])
+    probes = (router.ranked(x[::20])[1] < router.share).sum(axis=1).mean()
+    assert recall >= 0.9 and probes < 8, (recall, probes)
+
+
+def test_repeated_query_ids_are_ranked_on_their_own(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (40, x[41].tolist())] + [(1000 + i, x[7].tolist()) for i in range(90)]
+    got = learned_partitions.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id").isin(20, 40)).collect()
+    per = Counter(r["query_id"] for r in got)
+    assert per == {20: 20, 40: 40}  # the row of 20 twice is one query, the two vectors of 40 are two
+    assert sorted(r["rank"] for r in got if r["query_id"] == 20) == list(range(1, 21))
+    assert all(r["query_id"] != r["vec_id"] for r in got)
+
+
+def test_equal_vectors_that_cannot_be_nearest_are_left_out():
+    ids = np.array([5, 5, 5, 9, 8, 7, 6, 1, 2, 3])
+    x = np.array([[1.0, 2.0]] * 7 + [[0.0, 1.0]] * 3)
+    kept = learned_partitions._best_of_equals(ids, x, 2)
+    assert sorted(ids[kept].tolist()) == [1, 2, 3, 5, 5, 6, 7]
+
+
 def test_balanced_parts():
     x = np.random.default_rng(2).normal(size=(600, 8))
     part = learned_partitions.balanced_parts(x, learned_partitions.nearest(x, x, 6), 5)
