@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, context_tree, language_id, learned_partitions, mixing, quality_model, quality_rules, records, sharding, simhash
 from quillon.llm.common import id_residue, table
 
-#: Where the vocabulary files of public tokenizers lie, unless a caller says otherwise.
-TOKENIZERS = "/opt/tokenizers"
-#: The pattern of the rank files, a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn(quality_rules.labelled_statistics(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +41,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +53,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.new_folder(spark)
-    return records.read(records.write(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json"), folder)
+    return records.read(records.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json")), folder)
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

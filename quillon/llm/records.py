@@ -1,17 +1,19 @@
 """Token ids in length-delimited binary records.
 
 A record file holds, for each sequence: its length (8 bytes, little-endian), a masked checksum of those 8 bytes (4), the payload,
-a masked checksum of the payload (4). The payload is the key (8 bytes, signed) and the ids (unsigned, 2 bytes each if the vocabulary has at most 65,536 ids, else 4; the index says which). The checksum is
+a masked checksum of the payload (4). The payload is a flag (1 byte: 0 where the key is null), the key (8 bytes, signed) and the ids (unsigned, 2 bytes each if the vocabulary has at most 65,536 ids, else 4; the index says which). The checksum is
 CRC-32, rotated right by 15 bits plus a constant, so that checksums of data which itself holds checksums stay sound. An index file
 beside it holds a header with the width of an id and 24 bytes per record (offset, payload length, number of ids), so that a reader
 can pick records in any order without passing through the rest.
 
-Rows are range-partitioned by doc_id, so file order and order within files give ascending ids. A task writes
+Rows are range-partitioned by doc_id and a hash of their text, so file order and order within files give ascending ids, and no id is too
+frequent for a task. A task writes
 under a name of its own, ended by a rename, and the manifest lists only what finished tasks returned: a task that runs again
 after a loss, or twice, leaves a file nobody reads.
 
 Defined results: null texts are empty (only the end id is written); null ids come first and read back as null; rows with equal
-ids are ordered by their text; an empty table gives an empty manifest and no rows.
+ids are ordered by a hash of their text, then the text; an empty table gives an empty manifest and no rows; ids that are no integers raise;
+other columns are not read. What a text holds of the tokenizer's special tokens becomes their ids, as the library's own setting has it, or ordinary text if asked.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from tokenizers import Tokenizer
 
-from quillon.llm.common import shared_folder, stored
+from quillon.llm.common import passing, shared_folder, stored
 
 MASK, MAGIC = 0xA282EAD8, b"QREC0001"
-NULL_KEY = -(1 << 63)
+KEY = struct.Struct("<Bq")
 #: Words that a worker remembers (about 150 bytes each), and the longest of them.
 MEMO, MEMO_BYTES = 500_000, 64
 #: Input bytes per written file, about.
@@ -78,9 +81,10 @@ class WordTokenizer:
     offsets of its tokens tell the words apart. A bounded memo, kept by the worker process, holds the ids of words as little-endian bytes.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, special_as_text: bool = False):
         self.library = Tokenizer.from_str(text)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
 
@@ -109,10 +113,17 @@ class WordTokenizer:
         self.stems = {p: known[p] for p in new if len(p) <= MEMO_BYTES}
         return {w: b"".join([known[p] for p in cut.get(w, (w,))]) for w in words}
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words of a text. The library lower-cases; doing so for A-Z here only makes more words equal, but would turn other strings into special tokens."""
+        low = text.lower()
+        folded = [s.lower() for s in self.special]
+        if not any(s in low for s in folded):
+            return low.split()
+        return [w if any(s in w.lower() for s in folded) else w.lower() for w in text.split()]
+
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Per text its ids as little-endian unsigned numbers of `width` bytes, the end id last."""
-        # the library lower-cases; doing so for A-Z here only makes more words equal
-        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        split = [self._words((t or "").encode("utf-8", "surrogatepass")) for t in texts]
         new = set().union(*split) - self.memo.keys() if split else set()
         found = self.encode_words(list(new)) if new else {}
         if len(self.memo) + len(found) > MEMO:
@@ -127,26 +138,32 @@ class WordTokenizer:
         return [b"".join(map(get, words)) + end for words in split]
 
 
-_tokenizers: dict[int, WordTokenizer] = {}
+_tokenizers: dict[tuple[int, bool], WordTokenizer] = {}
 
 
-def tokenizer_of(text: str) -> WordTokenizer:
+def tokenizer_of(text: str, special_as_text: bool = False) -> WordTokenizer:
     """One tokenizer and memo per worker process."""
-    key = hash(text)
+    key = hash(text), special_as_text
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(text)
+        _tokenizers[key] = WordTokenizer(text, special_as_text)
     return _tokenizers[key]
 
 
-def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it; Spark's names for S3 are the library's, too."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri("s3://" + rest if mark and scheme in ("s3a", "s3n") else folder)
+
+
+def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, special_as_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) in order to one record file and its index; yields the manifest row."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = store_of(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}"
-    encoder, n, tokens, offset, index = tokenizer_of(tokenizer), 0, 0, 0, []
+    encoder, n, tokens, offset, index = tokenizer_of(tokenizer, special_as_text), 0, 0, 0, []
     width = encoder.width
     end = np.array([end_id], f"<u{width}").tobytes()
     out = None
@@ -156,7 +173,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
             for key, data in zip(ids, encoder.encode(batch.column(1).slice(lo, 512).to_pylist(), end)):
                 if out is None:
                     out = store.open_output_stream(f"{base}/{name}.tmp")
-                payload = struct.pack("<q", NULL_KEY if key is None else key) + data
+                payload = KEY.pack(key is not None, key or 0) + data
                 record = frame(payload)
                 out.write(record)
                 index.append((offset, len(payload), len(data) // width))
@@ -172,23 +189,26 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     )
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, parts: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Write every text of `docs` and return the manifest: part, file, n_records, n_ids, n_bytes, start (ids in earlier files).
 
     `tokenizer_path` is read by the driver; workers get its text, which has the size of the vocabulary.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id has to be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(spark.sparkContext.defaultParallelism, -(-size // FILE_TEXT))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(parts, first, F.col("hash").asc()).sortWithinPartitions(first, F.col("hash").asc(), F.col("text").asc_nulls_first())
     manifest = stored(
-        ordered.mapInArrow(lambda it: _write_part(it, folder, tokenizer.value, end_id), "part long, file string, n_records long, n_ids long, n_bytes long")
+        ordered.mapInArrow(lambda it: _write_part(it, folder, tokenizer.value, end_id, special_as_text), "part long, file string, n_records long, n_ids long, n_bytes long")
     )
     # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,12 +230,12 @@ def read_at(store: fs.FileSystem, path: str, offset: int, length: int, width: in
     with store.open_input_file(path) as f:
         f.seek(int(offset))
         payload, _ = unframe(f.read(int(length) + 16), 0)
-    (key,) = struct.unpack("<q", payload[:8])
-    return None if key == NULL_KEY else key, np.frombuffer(payload[8:], f"<u{width}").astype(np.int64)
+    known, key = KEY.unpack(payload[: KEY.size])
+    return key if known else None, np.frombuffer(payload[KEY.size :], f"<u{width}").astype(np.int64)
 
 
 def _read_parts(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = store_of(folder)
     for batch in batches:
         for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             index, width = read_index(store, f"{base}/{name}.idx")
@@ -228,14 +248,14 @@ def _read_parts(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool)
                     keys, sums, at, ids = [], [], 0, []
                     for _ in range(len(part)):
                         payload, at = unframe(data, at)
-                        (key,) = struct.unpack("<q", payload[:8])
-                        keys.append(None if key == NULL_KEY else key)
-                        found = np.frombuffer(payload[8:], f"<u{width}")
+                        known, key = KEY.unpack(payload[: KEY.size])
+                        keys.append(key if known else None)
+                        found = np.frombuffer(payload[KEY.size :], f"<u{width}")
                         sums.append(crc32(found.astype("<u4").tobytes()))
                         if with_ids:
                             ids.append(found.astype(np.int64))
                     n = part[:, 2].astype(np.int64)
-                    if at != stop - first or any(width * int(c) + 8 != int(b) for b, c in part[:, 1:]):
+                    if at != stop - first or any(width * int(c) + KEY.size != int(b) for b, c in part[:, 1:]):
                         raise ValueError(f"{name}: index and records differ")
                     starts = start + np.cumsum(n) - n
                     start = int(starts[-1] + n[-1])
@@ -255,5 +275,5 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
 
 
 def new_folder(spark) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_folder(spark)}/records/{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, which goes when the driver ends."""
+    return passing(spark, f"{shared_folder(spark)}/records/{uuid.uuid4().hex}")

@@ -7,14 +7,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, context_tree, language_id, learned_partitions, mixing, quality_model, quality_rules, records, sharding, simhash
 from quillon.llm.common import stored
-from quillon.llm.queries import PATTERN, TOKENIZERS
 
+PATTERN, TIKTOKEN, WORDS_JSON = public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(1)
 VOCABULARY = ["".join(RNG.choice(list("abcdeorst"), RNG.integers(2, 8))) for _ in range(300)]
@@ -356,7 +357,7 @@ def test_languages(spark, docs, none):
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(bpe.read_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"), PATTERN)
+    return bpe.Codec(bpe.read_ranks(TIKTOKEN), PATTERN)
 
 
 def test_bpe_equals_tiktoken(codec):
@@ -386,7 +387,7 @@ def test_bpe_memo_is_bounded(codec, monkeypatch):
 
 
 def test_bpe_round_trip(docs, none):
-    path = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    path = TIKTOKEN
     got = bpe.round_trip(docs, path, PATTERN).collect()
     want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows())
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want and bpe.round_trip(none, path, PATTERN).count() == 0
@@ -412,16 +413,17 @@ def test_records(spark, docs, none):
     from pyarrow import fs
     from tokenizers import Tokenizer
 
-    path, folder = f"{TOKENIZERS}/word_bpe_49k.json", records.new_folder(spark)
+    path, folder = WORDS_JSON, records.new_folder(spark)
     manifest = records.write(docs, folder, path, parts=3)
     got = records.read(manifest, folder, with_ids=True).orderBy("start").collect()
     library, at = Tokenizer.from_file(path), 0
-    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in got] == [r[0] for r in order]
-    for r, (_, t, *_) in zip(got, order):
-        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
-        assert r["start"] == at and r["ids"] == ids and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [2])) for i, t, *_ in order)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        at += len(r["ids"])
     store, base = fs.FileSystem.from_uri(folder)
     name = manifest.orderBy("part").first()["file"]
     index, width = records.read_index(store, f"{base}/{name}.idx")
@@ -435,6 +437,35 @@ def test_records(spark, docs, none):
     assert records.read(records.write(none, empty, path), empty).count() == 0
 
 
+def test_records_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "B", " ", "\n", "é", ".", "end", "\u00a0", "7"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(1500)]
+    plain, as_text = Tokenizer.from_file(WORDS_JSON), Tokenizer.from_file(WORDS_JSON)
+    as_text.encode_special_tokens = True
+    for library, flag in ((plain, False), (as_text, True)):
+        encoder = records.WordTokenizer(library.to_str(), flag)
+        for lo in range(0, len(texts), 100):
+            for t, got in zip(texts[lo : lo + 100], encoder.encode(texts[lo : lo + 100], b"")):
+                assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_records_of_one_frequent_key(spark, monkeypatch):
+    from pyspark.sql.types import LongType
+
+    data = [(None, prose(30, i)) for i in range(300)] + [(-(1 << 63), "least"), (0, "zero"), ((1 << 63) - 1, "most"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    folder = records.new_folder(spark)
+    manifest = records.write(docs, folder, WORDS_JSON, parts=4)
+    assert manifest.count() == 4 and manifest.agg(F.max("n_records")).first()[0] < 150
+    got = [r["doc_id"] for r in records.read(manifest, folder).orderBy("start").collect()]
+    assert got == [None] * 301 + [-(1 << 63), 0, (1 << 63) - 1] and isinstance(docs.schema["doc_id"].dataType, LongType)
+    with pytest.raises(TypeError, match="integer"):
+        records.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), folder, WORDS_JSON)
+
+
 def test_shards(spark, docs, none):
     data = [(i, prose(5 + i % 40, i)) for i in range(1500)] + [(5000 + i, "copy of one text " * 8) for i in range(700)] + [(None, None)]
     table = spark.createDataFrame(data, "doc_id long, text string")
