@@ -6,24 +6,31 @@ Krichevsky-Trofimov estimate. A node's weighted probability is half its own esti
 from these follow the weights with which a prediction mixes the estimates of all depths on its path. A context
 never seen leaves its weight to the node above it.
 
-Counts come from all training texts: tasks count context grams, Spark sums them. The tree that workers receive has a bound:
-if there are more than ``max_grams`` grams, the rarest of the deepest are counted into the next shorter context
-instead (they still count there), so nothing is dropped and the broadcast stays under about 40 * max_grams bytes.
+The tree holds every context of the training texts and grows with them; no worker and not the driver holds it whole:
 
-The unigram base model looks words up by a join, since a vocabulary has no bound: tasks send one row per word they met,
-with the rows it occurs in, so a frequent word is as many rows as there are batches, in a join that Spark can split.
+1. Tasks cut texts into slabs of about SLAB bytes. A slab is one row with its texts and, for each of CELLS cells, one row with its distinct grams
+   (a byte and the DEPTH bytes before it) in order and how often training texts hold them. A cell has all contexts that end in some pairs of bytes, so it has
+   whole subtrees below depth LOW.
+2. A cell merges its rows one by one and weighs its subtrees. What the levels above need of it are sums per node of depth
+   LOW - 1, of which there are at most 256 * 255 whatever the corpus; the driver weighs those.
+3. A cell answers each of its rows with the log probability of every gram, and each slab is scored with its answers. Answers are rounded to 16 significant bits.
+
+Words of the unigram base model go the same way, in cells by hash. A task holds one slab, or one cell's merged table and one row. Grams and words are
+counted once a slab, so a frequent one is no more than one entry a slab.
 
 Defined results: null texts are empty and consist of the end mark; rows with a null id are scored, never learned from, and
-count as held out; repeated rows score alike and each counts in learning; an empty table gives no rows; without
-training texts every bit has probability one half, and N and V are 0, which makes the base score 0.
+count as held out; repeated rows score alike and each counts in learning; a text longer than a slab is a slab of its own; an empty table gives no rows; without
+training texts every bit has probability one half, and N and V are 0, which makes the base score 0; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +39,44 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import id_residue, stored
 
-DEPTH, END = 6, 10
-MAX_GRAMS = 1 << 20
-#: Bytes of text counted or scored at once, and entries a task gathers before it hands them on.
-SLAB, GATHERED = 1 << 20, 1 << 21
+#: Depth of the tree, and depth from which on a cell has whole subtrees.
+DEPTH, LOW, END = 6, 2, 10
+#: Cells of grams (as many again are of words), bytes of text in a slab, and entries that a cell gathers before it merges them.
+CELLS, SLAB, GATHERED = 256, 8 << 20, 1 << 21
+
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: high bytes of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return struct.pack("<Q", len(values)) + CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    (n,), width = struct.unpack("<Q", data[:8]), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    raw = CODEC.decompress(data[8:], n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, as the packed differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def packed_text(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + CODEC.compress(data, asbytes=True)
+
+
+def unpacked_text(data: bytes) -> bytes:
+    (n,) = struct.unpack("<Q", data[:8])
+    return CODEC.decompress(data[8:], n, asbytes=True) if n else b""
 
 
 def normal(text: str | None) -> bytes:
@@ -44,21 +85,22 @@ def normal(text: str | None) -> bytes:
     return b" ".join([*words, b"\n"])
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per symbol the number made of its `depth` bytes of context and itself, and where each text's symbols start."""
+def grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """Per symbol of all texts the number made of its `depth` bytes of context, the nearest first, and itself. A text begins in a context of end marks."""
+    if not texts:
+        return np.zeros(0, np.uint64)
     pad = bytes([END]) * depth
-    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8).astype(np.uint64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    keys = np.zeros(max(len(data) - depth, 0), np.uint64)
-    for j in range(depth + 1):
+    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    n = len(data) - depth
+    keys = np.zeros(n, np.uint64)
+    for back in [*range(1, depth + 1), 0]:
         keys <<= np.uint64(8)
-        keys |= data[j : j + len(keys)]
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    real = np.ones(len(keys), bool)
+        keys |= data[depth - back : depth - back + n]
+    sizes = np.array([len(t) for t in texts], np.int64) + depth
+    real, starts = np.ones(n, bool), np.cumsum(sizes)[:-1] - depth
     for j in range(depth):
-        past = starts[1:] - depth + j
-        real[past[past < len(keys)]] = False
-    return keys[real], np.cumsum(sizes) - sizes
+        real[starts + j] = False
+    return keys[real]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,77 +115,25 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
-def _slabs(texts: list[bytes]) -> Iterator[list[bytes]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= SLAB:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def cell_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The cell of each gram, by its LOW nearest bytes of context."""
+    near = keys >> np.uint64(8 * (depth - LOW + 1))
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Training texts to (gram, word, n): counts of this task, grams and words each in rows of their own."""
-    keys, counts, words, end = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter(), 0
+def by_cell(keys: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts keys, themselves in order, by cell, and (cell, from, to) of each cell that has any."""
+    cells = cell_of(keys, depth)
+    ends = np.cumsum(np.bincount(cells, minlength=CELLS))
+    return np.argsort(cells, kind="stable"), [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if a < b]
 
-    def out(k: np.ndarray, c: np.ndarray, w: dict[bytes, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(k.view(np.int64)), pa.nulls(len(w), pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(k), pa.binary()), pa.array(list(w), pa.binary())]),
-                pa.concat_arrays([pa.array(c, pa.int64()), pa.array(list(w.values()), pa.int64())]),
-            ],
-            names=["gram", "word", "n"],
-        )
 
-    for batch in batches:
-        texts = [normal(t.as_py()) for t in batch.column(0)]
-        for slab in _slabs(texts):
-            k, c = summed(grams(slab, depth)[0])
-            keys, counts = summed(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            for t in slab:
-                words.update(t.split())
-            if len(keys) > GATHERED:
-                yield out(keys, counts, {})
-                keys, counts = keys[:0], counts[:0]
-            if len(words) > GATHERED // 4:
-                yield out(keys[:0], counts[:0], words)
-                words = Counter()
-    yield out(keys, counts, words)
-
-
-def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram, word, n over all rows of `texts(text)`: rows with a gram count contexts, rows with a word count words."""
-    return texts.mapInArrow(lambda it: _count_batches(it, depth), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
-
-
-def bounded_grams(found: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """depth, gram, n: at most about `max_grams` rows whose counts sum to those of `found(gram, n)`.
-
-    While there are too many, grams of the deepest level below a count threshold go to the level above.
-    """
-    rows = found.select(F.lit(depth).alias("depth"), "gram", "n")
-    for d in range(depth, 0, -1):
-        if rows.count() <= max_grams:
-            break
-        here = rows.where(F.col("depth") == d)
-        most = here.select(F.floor(F.log2("n") * 4).cast("int").alias("bin")).groupBy("bin").count().collect()
-        room, cut = max_grams * (depth - d + 1) // (depth + 1), 0
-        for b in sorted(most, key=lambda r: -r["bin"]):
-            room -= b["count"]
-            if room < 0:
-                cut = b["bin"] + 1
-                break
-        rare = (F.col("depth") == d) & (F.floor(F.log2("n") * 4) < cut)
-        mask = (1 << (8 * d)) - 1
-        rows = stored(
-            rows.select(F.when(rare, d - 1).otherwise(F.col("depth")).alias("depth"), F.when(rare, F.col("gram").bitwiseAND(F.lit(mask).cast("long"))).otherwise(F.col("gram")).alias("gram"), "n")
-            .groupBy("depth", "gram").agg(F.sum("n").alias("n"))
-        )
-    return rows
+def words_by_cell(words: Iterable[bytes]) -> list[tuple[int, list[bytes]]]:
+    """Distinct words in order by cell."""
+    out: list[list[bytes]] = [[] for _ in range(CELLS)]
+    for w in words:
+        out[crc32(w) % CELLS].append(w)
+    return [(CELLS + i, sorted(ws)) for i, ws in enumerate(out) if ws]
 
 
 _LOGS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1 << 16)))])
@@ -152,9 +142,9 @@ _HALF_LOGS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(0, 1 << 16) + 0.5
 
 def _log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
     """ln of gamma(n + 1), or of gamma(n + 1/2) / gamma(1/2): a table, then Stirling's series."""
-    small = np.minimum(n, (1 << 16) - 1)
-    out = (_HALF_LOGS if half else _LOGS)[small]
-    big = n > small
+    low = np.minimum(n, (1 << 16) - 1)
+    out = (_HALF_LOGS if half else _LOGS)[low]
+    big = n > low
     if big.any():
         x = n[big] + (0.5 if half else 1.0)
         out[big] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - (0.5 * math.log(math.pi) if half else 0)
@@ -166,208 +156,388 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, True) + _log_gamma(ones, True) - _log_gamma(zeros + ones, False)
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a decision (context and the bits of the byte before it) with their zeros and ones, from grams of one depth in order."""
+    node = keys >> np.uint64(8 - bit)
+    first = _firsts(node)
+    total = np.add.reduceat(counts, first) if len(first) else counts[:0]
+    ones = np.add.reduceat(counts * ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64), first) if len(first) else counts[:0]
+    return node[first], total - ones, ones
+
+
+def _parent(node: np.ndarray, bit: int) -> np.ndarray:
+    """The node whose context lacks the farthest byte."""
+    return ((node >> np.uint64(bit + 8)) << np.uint64(bit)) | (node & np.uint64((1 << bit) - 1))
+
+
+def _at_depth(keys: np.ndarray, depth: int, d: int) -> np.ndarray:
+    """Grams cut to the d nearest bytes of context."""
+    return ((keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def _found(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted nodes, and which of them are there."""
+    if not len(nodes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+    return at, nodes[at] == wanted
+
+
+def _stop(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability of nodes with children, and the weight of their own estimate in it."""
+    weighted = np.logaddexp(own, below) - math.log(2)
+    return weighted, np.exp(np.minimum(own - math.log(2) - weighted, 0.0))
+
+
 @dataclass
-class Tree:
-    """Per (depth, bit) the node keys in order and the mixed probability of a zero when that node ends the path."""
+class Top:
+    """The levels above LOW. Per bit and depth the nodes, the probability of a zero where the path ends there, and what a child starts from: the mixed estimate and the weight left."""
 
-    depth: int
-    keys: list[list[np.ndarray]]
-    zero: list[list[np.ndarray]]
+    nodes: list[list[np.ndarray]] = field(default_factory=lambda: [[np.zeros(0, np.uint64)] * 8 for _ in range(LOW)])
+    zero: list[list[np.ndarray]] = field(default_factory=lambda: [[np.zeros(0)] * 8 for _ in range(LOW)])
+    mixed: list[np.ndarray] = field(default_factory=lambda: [np.zeros(0)] * 8)
+    left: list[np.ndarray] = field(default_factory=lambda: [np.zeros(0)] * 8)
 
     @classmethod
-    def build(cls, level: np.ndarray, gram: np.ndarray, n: np.ndarray, depth: int) -> Tree:
-        keys = [[np.zeros(0, np.uint64)] * 8 for _ in range(depth + 1)]
-        zero = [[np.zeros(0, np.float32)] * 8 for _ in range(depth + 1)]
-        at = []
-        for d in range(depth + 1):
-            here = level >= d
-            mask = np.uint64((1 << (8 * (d + 1))) - 1)
-            at.append(summed(gram[here] & mask, n[here]))
-        for bit in range(8):
-            nodes, zeros, ones, weighted, stop = [], [], [], [None] * (depth + 1), [None] * (depth + 1)
-            for k, c in at:
-                node = k >> np.uint64(8 - bit)
-                first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-                one = (k >> np.uint64(7 - bit)) & np.uint64(1)
-                total = np.add.reduceat(c, first) if len(first) else c[:0]
-                b = np.add.reduceat(c * one.astype(np.int64), first) if len(first) else c[:0]
-                nodes.append(node[first])
-                zeros.append(total - b)
-                ones.append(b)
-            up = [None]
-            for d in range(1, depth + 1):
-                up.append(np.searchsorted(nodes[d - 1], nodes[d] & np.uint64((1 << (8 * (d - 1) + bit)) - 1)))
-            for d in range(depth, -1, -1):
-                own = log_kt(zeros[d], ones[d])
-                if d == depth or not len(nodes[d + 1]):
-                    weighted[d], stop[d] = own, np.ones(len(own))
-                    continue
-                m = len(own)
-                below = np.bincount(up[d + 1], weighted[d + 1], m)
-                # what was counted no deeper than here is one more child
-                rest = [np.rint(v[d] - np.bincount(up[d + 1], v[d + 1], m)).astype(np.int64) for v in (zeros, ones)]
-                split = below + log_kt(*rest)
-                childless = np.bincount(up[d + 1], minlength=m) == 0
-                weighted[d] = np.where(childless, own, np.logaddexp(own, split) - math.log(2))
-                stop[d] = np.where(childless, 1.0, np.exp(np.minimum(own - math.log(2) - weighted[d], 0.0)))
-            mixed, left = np.zeros(len(nodes[0])), np.ones(len(nodes[0]))
-            for d in range(depth + 1):
+    def of(cls, bit: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Top:
+        """From the nodes of depth LOW - 1, each with its counts and the sum of its children's weighted probabilities."""
+        top = cls()
+        for b in range(8):
+            mine = np.flatnonzero(bit == b)
+            mine = mine[np.argsort(node[mine])]
+            levels = [(node[mine], zeros[mine], ones[mine], below[mine])]
+            ups = []
+            while len(levels) < LOW:
+                n, z, o, under = levels[0]
+                weighted, _ = _stop(log_kt(z, o), under)
+                parents, up = np.unique(_parent(n, b), return_inverse=True)
+                add = lambda v: np.bincount(up, v, len(parents))
+                levels.insert(0, (parents, np.rint(add(z)).astype(np.int64), np.rint(add(o)).astype(np.int64), add(weighted)))
+                ups.insert(0, up)
+            mixed, left = np.zeros(len(levels[0][0])), np.ones(len(levels[0][0]))
+            for d, (n, z, o, under) in enumerate(levels):
                 if d:
-                    mixed, left = mixed[up[d]], left[up[d]]
-                kt = (zeros[d] + 0.5) / (zeros[d] + ones[d] + 1.0)
-                keys[d][bit], zero[d][bit] = nodes[d], (mixed + left * kt).astype(np.float32)
-                mixed, left = mixed + left * stop[d] * kt, left * (1 - stop[d])
-        return cls(depth, keys, zero)
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others."""
-        out = np.zeros(len(gram))
+                    mixed, left = mixed[ups[d - 1]], left[ups[d - 1]]
+                kt, (_, stop) = (z + 0.5) / (z + o + 1.0), _stop(log_kt(z, o), under)
+                top.nodes[d][b], top.zero[d][b] = n, mixed + left * kt
+                mixed, left = mixed + left * stop * kt, left * (1 - stop)
+            top.mixed[b], top.left[b] = mixed, left
+        return top
+
+    def zeros_of(self, keys: np.ndarray, depth: int, bit: int) -> np.ndarray:
+        """Probability of a zero for grams whose path ends above LOW."""
+        out, todo = np.full(len(keys), 0.5), np.arange(len(keys))
+        for d in range(LOW - 1, -1, -1):
+            at, hit = _found(self.nodes[d][bit], _at_depth(keys[todo], depth, d) >> np.uint64(8 - bit))
+            out[todo[hit]] = self.zero[d][bit][at[hit]]
+            todo = todo[~hit]
+        return out
+
+
+class Cell:
+    """The subtrees of one cell, from its distinct grams in order and their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        self.depth, self.keys = depth, keys
+        self.levels = [summed(_at_depth(keys, depth, d), counts) for d in range(LOW, depth + 1)]
+        self.weigh()
+
+    def weigh(self) -> None:
+        self.nodes, self.up, self.kt, self.stop, self.sums = [], [], [], [], []
         for bit in range(8):
-            p = np.full(len(gram), 0.5)
-            todo = np.arange(len(gram))
-            for d in range(self.depth, -1, -1):
-                nodes = self.keys[d][bit]
-                if not len(nodes) or not len(todo):
-                    continue
-                want = (gram[todo] & np.uint64((1 << (8 * (d + 1))) - 1)) >> np.uint64(8 - bit)
-                i = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
-                hit = nodes[i] == want
-                p[todo[hit]] = self.zero[d][bit][i[hit]]
+            nodes, zeros, ones = zip(*(_nodes(k, c, bit) for k, c in self.levels))
+            up = [None, *(np.searchsorted(nodes[i - 1], _parent(nodes[i], bit)) for i in range(1, len(nodes)))]
+            stop, weighted = [None] * len(nodes), None
+            for i in range(len(nodes) - 1, -1, -1):
+                own = log_kt(zeros[i], ones[i])
+                if weighted is None:
+                    weighted, stop[i] = own, np.ones(len(own))
+                else:
+                    weighted, stop[i] = _stop(own, np.bincount(up[i + 1], weighted, len(own)))
+            above, at = np.unique(_parent(nodes[0], bit), return_inverse=True)
+            self.sums.append((above, *(np.bincount(at, v, len(above)) for v in (zeros[0], ones[0], weighted))))
+            self.nodes.append(nodes)
+            self.up.append(up)
+            self.stop.append(stop)
+            self.kt.append([(z + 0.5) / (z + o + 1.0) for z, o in zip(zeros, ones)])
+
+    def predict(self, top: Top) -> None:
+        """Set the probability of a zero at every node, and the log10 probability of every gram of the cell."""
+        self.top, self.zero = top, []
+        for bit in range(8):
+            at, _ = _found(top.nodes[LOW - 1][bit], _parent(self.nodes[bit][0], bit))
+            mixed, left, zero = top.mixed[bit][at], top.left[bit][at], []
+            for i, (kt, stop) in enumerate(zip(self.kt[bit], self.stop[bit])):
+                if i:
+                    mixed, left = mixed[self.up[bit][i]], left[self.up[bit][i]]
+                zero.append(mixed + left * kt)
+                mixed, left = mixed + left * stop * kt, left * (1 - stop)
+            self.zero.append(zero)
+        self.known = self._log10(self.keys)
+
+    def _log10(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        for bit in range(8):
+            p, todo = np.empty(len(keys)), np.arange(len(keys))
+            for d in range(self.depth, LOW - 1, -1):
+                at, hit = _found(self.nodes[bit][d - LOW], _at_depth(keys[todo], self.depth, d) >> np.uint64(8 - bit))
+                p[todo[hit]] = self.zero[bit][d - LOW][at[hit]]
                 todo = todo[~hit]
-            one = ((gram >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+                if not len(todo):
+                    break
+            p[todo] = self.top.zeros_of(keys[todo], self.depth, bit)
+            one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
             out += np.log10(np.where(one, 1.0 - p, p))
         return out
 
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's last byte after the others; keys in order are quickest."""
+        at, hit = _found(self.keys, keys)
+        out = np.empty(len(keys))
+        out[hit] = self.known[at[hit]]
+        out[~hit] = self._log10(keys[~hit])
+        return out
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Single precision numbers of 16 significant bits."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
+# ---- tasks -------------------------------------------------------------------------------------------------------------
+
+ROW = ["slab", "cell", "keys", "counts", "ids", "held", "sizes", "text"]
+
+
+def _slab_rows(slab: int, ids: list, held: list[bool], texts: list[bytes], depth: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The row of a slab's texts, and a row per cell with its grams or words and their counts in training texts."""
+    learned, rest = ([t for t, h in zip(texts, held) if h == which] for which in (False, True))
+    keys, counts = summed(grams(learned, depth))
+    if rest:
+        trained = keys
+        keys = np.union1d(keys, summed(grams(rest, depth))[0])
+        place, counts_of = np.searchsorted(keys, trained), counts
+        counts = np.zeros(len(keys), np.int64)
+        counts[place] = counts_of
+    order, parts = by_cell(keys, depth)
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    rows = [(c, packed_keys(keys[a:b]), packed(counts[a:b])) for c, a, b in parts]
+    words: Counter = Counter()
+    for t in learned:
+        words.update(t.split())
+    for c, ws in words_by_cell(words.keys() | {w for t in rest for w in t.split()}):
+        rows.append((c, packed_text(b" ".join(ws)), packed(np.array([words[w] for w in ws], np.uint32))))
+    n = len(rows)
+    last = lambda v, t: pa.concat_arrays([pa.nulls(n, t), pa.array([v], t)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([slab] * (n + 1), pa.int64()), pa.array([*(r[0] for r in rows), None], pa.int32()), pa.array([*(r[1] for r in rows), None], pa.binary()), pa.array([*(r[2] for r in rows), None], pa.binary()),
+            last(ids, pa.list_(kind)), last(held, pa.list_(pa.bool_())), last([len(t) for t in texts], pa.list_(pa.int64())), last(packed_text(b"".join(texts)), pa.binary()),
+        ],
+        names=ROW,
+    )
 
-class Scorer:
-    """A tree with an open-addressed table of the grams met so far; the table recalls, the tree decides."""
-
-    SLOTS = 22
-
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.full(1 << self.SLOTS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.value = np.zeros(1 << self.SLOTS, np.float32)
-        self.used = 0
-
-    def _slot(self, gram: np.ndarray) -> np.ndarray:
-        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-
-    def _add(self, gram: np.ndarray) -> None:
-        if self.used + len(gram) > 1 << (self.SLOTS - 1):
-            self.clear()
-        if len(gram) > 1 << (self.SLOTS - 1):
-            return
-        value, slot = self.tree.log10(gram).astype(np.float32), self._slot(gram)
-        self.used += len(gram)
-        todo = np.arange(len(gram))
-        while len(todo):
-            free = todo[self.key[slot[todo]] == np.uint64(0xFFFFFFFFFFFFFFFF)]
-            self.key[slot[free]] = gram[free]  # of several that want a slot the last stays
-            won = free[self.key[slot[free]] == gram[free]]
-            self.value[slot[won]] = value[won]
-            done = np.zeros(len(gram), bool)
-            done[won] = True
-            todo = todo[~done[todo]]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.SLOTS) - 1)
-
-    def _recall(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and the indices of grams that the table lacks."""
-        slot = self._slot(gram)
-        out, lacking = self.value[slot], []
-        todo = np.flatnonzero(self.key[slot] != gram)
-        slot = slot[todo]
-        while len(todo):
-            lack = self.key[slot] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            lacking.append(todo[lack])
-            todo, slot = todo[~lack], (slot[~lack] + 1) & ((1 << self.SLOTS) - 1)
-            hit = self.key[slot] == gram[todo]
-            out[todo[hit]] = self.value[slot[hit]]
-            todo, slot = todo[~hit], slot[~hit]
-        return out, np.concatenate(lacking) if lacking else np.zeros(0, np.int64)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        gram, starts = grams(texts, self.tree.depth)
-        out, lacking = self._recall(gram)
-        if len(lacking):
-            self._add(np.unique(gram[lacking]))
-            out[lacking], still = self._recall(gram[lacking])
-            if len(still):
-                out[lacking[still]] = self.tree.log10(gram[lacking[still]])
-        return np.add.reduceat(out.astype(np.float64), starts)
-
-
-def fit(counts: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> Tree:
-    """The weighted tree of the counted grams. What reaches the driver has the bound of `bounded_grams`."""
-    got = bounded_grams(counts.where("gram IS NOT NULL").select("gram", "n"), depth, max_grams).toArrow()
-    level, gram, n = (got.column(c).to_numpy() for c in ("depth", "gram", "n"))
-    return Tree.build(level, gram.astype(np.int64).view(np.uint64), n.astype(np.int64), depth)
-
-
-def _score_batches(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, held_out, text) to one row each with its score, and one row per word of the batch with the rows it occurs in."""
-    scorer = Scorer(tree)
-    names = ["row", "doc_id", "held_out", "n_words", "score", "word", "rows", "ns"]
-    for batch in batches:
-        rows = batch.column(0).to_pylist()
-        texts = [normal(t.as_py()) for t in batch.column(3)]
-        scores = np.concatenate([scorer.score(s) for s in _slabs(texts)]) if texts else np.zeros(0)
-        at: dict[bytes, tuple[list[int], list[int]]] = {}
-        n_words = []
-        for row, t in zip(rows, texts):
-            found = Counter(t.split())
-            n_words.append(found.total())
-            for w, c in found.items():
-                got = at.get(w)
-                if got is None:
-                    at[w] = ([row], [c])
-                else:
-                    got[0].append(row)
-                    got[1].append(c)
-        m, k = len(rows), len(at)
-        left = [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words, pa.int64()), pa.array(scores, pa.float64())]
-        right = [pa.array(list(at), pa.binary()), pa.array([v[0] for v in at.values()], pa.list_(pa.int64())), pa.array([v[1] for v in at.values()], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*left, *(pa.nulls(m, x.type) for x in right)], names=names)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, x.type) for x in left), *right], names=names)
 
+def _slab_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held, text) to slabs."""
+    from pyspark import TaskContext
 
-def score(docs: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS, held_modulus: int = 10) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    slab = TaskContext.get().partitionId() << 32
+    ids, held, texts, n, kind = [], [], [], 0, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for i, h, t in zip(batch.column(0), batch.column(1), batch.column(2)):
+            ids.append(i.as_py())
+            held.append(h.as_py())
+            texts.append(normal(t.as_py()))
+            n += len(texts[-1])
+            if n >= SLAB:
+                yield _slab_rows(slab, ids, held, texts, depth, kind)
+                ids, held, texts, n, slab = [], [], [], 0, slab + 1
+    if texts:
+        yield _slab_rows(slab, ids, held, texts, depth, kind)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows in order of `cell` to runs of one cell; a run has to be read to its end before the next."""
+    rows = ({n: c[i].as_py() for n, c in zip(b.schema.names, b.columns)} for b in batches for i in range(len(b)))
+    ahead = next(rows, None)
+
+    def run(cell: int) -> Iterator[dict]:
+        nonlocal ahead
+        while ahead is not None and ahead["cell"] == cell:
+            row, ahead = ahead, next(rows, None)
+            yield row
+
+    while ahead is not None:
+        cell = ahead["cell"]
+        yield cell, run(cell)
+
+
+def _merged(rows: Iterator[dict]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for r in rows:
+        k, c = unpacked_keys(r["keys"]), unpacked(r["counts"], np.uint32).astype(np.int64)
+        keys.append(k[c > 0])
+        counts.append(c[c > 0])
+        n += len(keys[-1])
+        if n > GATHERED + 2 * len(keys[0]):
+            k, c = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, n = [k], [c], len(k)
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+MODEL = "cell int, keys binary, counts binary, bit int, node long, zeros long, ones long, below double"
+
+
+def _model_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, keys, counts) in order of cells to one row a cell with its merged table, and rows of what the levels above need; of words, their number and sum."""
+    kinds = pa.schema([("cell", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("bit", pa.int32()), ("node", pa.int64()), ("zeros", pa.int64()), ("ones", pa.int64()), ("below", pa.float64())])
+
+    def out(cell: int, keys: bytes, counts: bytes, sums: list[tuple]) -> pa.RecordBatch:
+        size = sum(len(s[1]) for s in sums)
+        first = lambda v, t: pa.concat_arrays([pa.array([v], t), pa.nulls(size, t)])
+        rest = lambda i, t: pa.concat_arrays([pa.nulls(1, t), pa.array(np.concatenate([s[i] for s in sums]), t)])
+        bits = pa.array(np.repeat([s[0] for s in sums], [len(s[1]) for s in sums]), pa.int32())
+        whole = lambda v: np.rint(v).astype(np.int64)
+        sums = [(b, n.astype(np.int64), whole(z), whole(o), w.astype(np.float64)) for b, n, z, o, w in sums]
+        return pa.RecordBatch.from_arrays(
+            [first(cell, pa.int32()), first(keys, pa.binary()), first(counts, pa.binary()), pa.concat_arrays([pa.nulls(1, pa.int32()), bits]), rest(1, pa.int64()), rest(2, pa.int64()), rest(3, pa.int64()), rest(4, pa.float64())],
+            schema=kinds,
+        )
+
+    for cell, rows in _cells(batches):
+        if cell < CELLS:
+            keys, counts = _merged(rows)
+            if len(keys):
+                yield out(cell, packed_keys(keys), packed(counts), [(b, *s) for b, s in enumerate(Cell(keys, counts, depth).sums)])
+            continue
+        words: Counter = Counter()
+        for r in rows:
+            for w, c in zip(unpacked_text(r["keys"]).split(), unpacked(r["counts"], np.uint32).tolist()):
+                if c:
+                    words[w] += c
+        if words:
+            one = np.ones(1)
+            yield out(cell, packed_text(b" ".join(words)), packed(np.array(list(words.values()), np.int64)), [(8, 0 * one, len(words) * one, words.total() * one, 0 * one)])
+
+
+def _answer_batches(batches: Iterator[pa.RecordBatch], top: Top, depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, slab, keys, counts) in order of cells, a cell's table first with no slab, to (slab, cell, values)."""
+    for cell, rows in _cells(batches):
+        words: dict[bytes, int] = {}
+        tree = None
+        slabs, values = [], []
+        for r in rows:
+            if r["slab"] is None:
+                if cell < CELLS:
+                    tree = Cell(unpacked_keys(r["keys"]), unpacked(r["counts"], np.int64), depth)
+                    tree.predict(top)
+                else:
+                    words = dict(zip(unpacked_text(r["keys"]).split(), unpacked(r["counts"], np.int64).tolist()))
+                continue
+            if cell < CELLS:
+                if tree is None:  # nothing was learned in this cell
+                    tree = Cell(np.zeros(0, np.uint64), np.zeros(0, np.int64), depth)
+                    tree.predict(top)
+                found = packed(rounded(tree.log10(unpacked_keys(r["keys"]))))
+            else:
+                found = packed(np.array([words.get(w, 0) for w in unpacked_text(r["keys"]).split()], np.int64))
+            slabs.append(r["slab"])
+            values.append(found)
+            if len(slabs) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int64()), pa.array([cell] * len(slabs), pa.int32()), pa.array(values, pa.binary())], names=["slab", "cell", "values"])
+                slabs, values = [], []
+        if slabs:
+            yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int64()), pa.array([cell] * len(slabs), pa.int32()), pa.array(values, pa.binary())], names=["slab", "cell", "values"])
+
+
+def _scores(texts: list[bytes], answers: dict[int, bytes], depth: int) -> np.ndarray:
+    """log10 probability of each text from the answers to its slab's grams."""
+    keys = grams(texts, depth)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _firsts(keys)
+    distinct, counts = keys[first], np.diff(np.append(first, len(keys)))
+    del keys
+    by, parts = by_cell(distinct, depth)
+    value = np.empty(len(distinct), np.float32)
+    for c, a, b in parts:
+        value[by[a:b]] = unpacked(answers[c], np.float32)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    return np.bincount(text_of[order], np.repeat(value, counts), len(texts))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of slabs, a slab's answers before its texts, to one row per text."""
+    answers: dict[int, bytes] = {}
+    for batch in batches:
+        slabs, cells, values = batch.column("slab").to_pylist(), batch.column("cell").to_pylist(), batch.column("values")
+        for i, (_, cell) in enumerate(zip(slabs, cells)):
+            if cell is not None:
+                answers[cell] = values[i].as_py()
+                continue
+            whole, texts, at = unpacked_text(batch.column("text")[i].as_py()), [], 0
+            for size in batch.column("sizes")[i].as_py():
+                texts.append(whole[at : at + size])
+                at += size
+            split = [t.split() for t in texts]
+            count: dict[bytes, int] = {}
+            for c, ws in words_by_cell(set().union(*split)):
+                count.update(zip(ws, unpacked(answers[c], np.int64).tolist()))
+            log = {w: math.log10(c + 0.1) for w, c in count.items()}
+            ids, held = batch.column("ids")[i].values, batch.column("held")[i].as_py()
+            known = [sum(count[w] > 0 for w in ws) if h else len(ws) for ws, h in zip(split, held)]
+            logs = [math.fsum(map(log.__getitem__, ws)) for ws in split]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(held, pa.bool_()), pa.array(list(map(len, split)), pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(_scores(texts, answers, depth), pa.float64())],
+                names=["doc_id", "held_out", "n_words", "known", "logs", "score"],
+            )
+            answers = {}
+
+
+# ---- the operator ------------------------------------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, depth: int = DEPTH, held_modulus: int = 10) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `depth` is from LOW to 7."""
+    if not LOW <= depth <= 7:
+        raise ValueError(f"depth is from {LOW} to 7")
     held = F.coalesce(id_residue(F.col("doc_id"), held_modulus) == 0, F.lit(True))
-    counts = stored(corpus_counts(docs.where(~held).select("text"), depth))
-    tree = docs.sparkSession.sparkContext.broadcast(fit(counts, depth, max_grams))
-    ends = docs.where(~held).count()
-    words = counts.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
-    size = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    n, v = size["n"] + ends, size["v"] + (ends > 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stored(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), "text").mapInArrow(
-            lambda it: _score_batches(it, tree.value),
-            f"row long, doc_id {kind}, held_out boolean, n_words long, score double, word binary, rows array<long>, ns array<int>",
+    rows = stored(
+        docs.select("doc_id", held.alias("held"), "text").mapInArrow(
+            lambda it: _slab_batches(it, depth), f"slab long, cell int, keys binary, counts binary, ids array<{kind}>, held array<boolean>, sizes array<long>, text binary"
         )
     )
-    logs = (
-        scored.where("word IS NOT NULL").select("word", "rows", "ns").join(words, "word", "left")
-        .select(F.coalesce("c", F.lit(0)).alias("c"), F.explode(F.arrays_zip("rows", "ns")).alias("x"))
-        .groupBy(F.col("x")["rows"].alias("row"))
-        .agg(
-            F.sum(F.col("x")["ns"] * F.log10(F.col("c") + 0.1)).alias("logs"),
-            F.sum(F.when(F.col("c") > 0, F.col("x")["ns"].cast("long")).otherwise(F.lit(0).cast("long"))).alias("known"),
-        )
+    asked, slabs = rows.where("cell IS NOT NULL"), rows.where("cell IS NULL")
+    n_slabs = slabs.count()
+    model = stored(asked.select("cell", "keys", "counts").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _model_batches(it, depth), MODEL))
+    sums = model.where("bit IS NOT NULL").groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    bit, node, zeros, ones, below = (sums.column(c).to_numpy() for c in ("bit", "node", "zeros", "ones", "below"))
+    of_words = bit == 8
+    v, n = int(zeros[of_words].sum()), int(ones[of_words].sum())
+    tree = ~of_words
+    top = docs.sparkSession.sparkContext.broadcast(Top.of(bit[tree], node[tree].astype(np.uint64), zeros[tree].astype(np.int64), ones[tree].astype(np.int64), below[tree].astype(np.float64)))
+    ends = docs.where(~held).count()
+    v, n = v + (ends > 0), n + ends
+    tables = model.where("keys IS NOT NULL").select("cell", F.lit(None).cast("long").alias("slab"), "keys", "counts")
+    answers = (
+        tables.unionByName(asked.select("cell", "slab", "keys", F.lit(None).cast("binary").alias("counts"))).repartition("cell").sortWithinPartitions("cell", F.col("slab").asc_nulls_first())
+        .mapInArrow(lambda it: _answer_batches(it, top.value, depth), "slab long, cell int, values binary")
+    )
+    whole = slabs.select("slab", "cell", F.lit(None).cast("binary").alias("values"), "ids", "held", "sizes", "text")
+    scored = (
+        answers.unionByName(whole, allowMissingColumns=True).repartition(max(1, n_slabs), "slab").sortWithinPartitions("slab", F.col("cell").asc_nulls_last())
+        .mapInArrow(lambda it: _score_batches(it, depth), f"doc_id {kind}, held_out boolean, n_words long, known long, logs double, score double")
     )
     tokens = F.col("n_words") + 1
-    return (
-        scored.where("word IS NULL").select("row", "doc_id", "held_out", "n_words", "score").join(logs, "row", "left")
-        .select(
-            "doc_id", "held_out", tokens.alias("n_tokens"),
-            (F.coalesce("known", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.coalesce("logs", F.lit(0.0)) + F.lit(math.log10(ends + 0.1)) - tokens * F.lit(math.log10(n + 0.1 * (v + 1)))).alias("base_score"),
-            "score",
-        )
+    return scored.select(
+        "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("known") + F.lit(1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.lit(math.log10(ends + 0.1)) - tokens * F.lit(math.log10(n + 0.1 * (v + 1)))).alias("base_score"), "score",
     )

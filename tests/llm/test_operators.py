@@ -228,37 +228,94 @@ def test_context_tree(spark, docs, none):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got) and context_tree.score(none).count() == 0
 
 
-def test_context_tree_probabilities(spark):
-    texts = [context_tree.normal(prose(40, i)) for i in range(20)]
-    keys, counts = context_tree.summed(context_tree.grams(texts, 3)[0])
-    tree = context_tree.Tree.build(np.full(len(keys), 3), keys, counts, 3)
-    for context in (b"\n\n\n", b"ab ", b"zzz"):
-        grams = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert math.isclose((10 ** tree.log10(grams)).sum(), 1.0, rel_tol=1e-5)
-    # the first bit at depth one, written out: the root's weight against the product of its children
-    short = [b"ab\n", b"aab\n", b"b\xe9a\n"]
-    k, c = context_tree.summed(context_tree.grams(short, 1)[0])
-    one = context_tree.Tree.build(np.full(len(k), 1), k, c, 1)
-    seen = [(p, s >> 7) for t in short for p, s in zip(b"\n" + t, t)]
-
-    def kt(bits):
-        p, n = 1.0, [0, 0]
-        for x in bits:
-            p *= (n[x] + 0.5) / (sum(n) + 1)
-            n[x] += 1
-        return p, (n[0] + 0.5) / (sum(n) + 1)
-
-    root, root_zero = kt([x for _, x in seen])
-    children = {p: kt([x for q, x in seen if q == p]) for p in {q for q, _ in seen}}
-    stop = root / (root + math.prod(v for v, _ in children.values()))
-    for key, zero in zip(one.keys[1][0].tolist(), one.zero[1][0].tolist()):
-        assert math.isclose(zero, stop * root_zero + (1 - stop) * children[key][1], rel_tol=1e-5)
-    few = spark.createDataFrame([(int(x), int(y)) for x, y in zip(keys.astype(np.int64), counts)], "gram long, n long")
-    bounded = context_tree.bounded_grams(few, 3, len(keys) // 2)
-    assert bounded.count() <= len(keys) // 2 and bounded.agg(F.sum("n")).first()[0] == counts.sum()
-    scorer = context_tree.Scorer(tree)
-    direct = [tree.log10(context_tree.grams([t], 3)[0]).sum() for t in texts]
-    assert np.allclose(scorer.score(texts), direct, rtol=1e-5) and np.allclose(scorer.score(texts), direct, rtol=1e-5)
+def brute_tree(texts, depth):
+    """Counts of every node (context, bits before), and the weighted probability of a node from them, all as a plain recursion."""
+    count = {}
+    for t in texts:
+        padded = b"\n" * depth + t
+        for i in range(depth, len(padded)):
+            bits = f"{padded[i]:08b}"
+            for d in range(depth + 1):
+                for b in range(8):
+                    count.setdefault((padded[i - d : i], bits[:b]), [0, 0])[int(bits[b])] += 1
+    children = {}
+    for context, bits in count:
+        if context:
+            children.setdefault((context[1:], bits), []).append((context, bits))
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
+
+    def weighted(node, extra, path):
+        z, o = count[node]
+        if node in path:
+            z, o = z + (extra == 0), o + (extra == 1)
+        own = kt(z, o)
+        if len(node[0]) == depth:
+            return own
+        below = sum(weighted(c, extra, path) for c in children[node])
+        top = max(own, below)
+        return top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2)
+
+    return count, weighted
+
+
+def test_context_tree_probabilities():
+    texts = [context_tree.normal(prose(12, i)) for i in range(6)] + [context_tree.normal(None)]
+    keys, counts = context_tree.summed(context_tree.grams(texts, 3))
+
+    def cells(keys, counts):
+        order, parts = context_tree.by_cell(keys, 3)
+        return {c: context_tree.Cell(keys[order][a:b], counts[order][a:b], 3) for c, a, b in parts}
+
+    trees = cells(keys, counts)
+    sums = [(b, *row) for t in trees.values() for b, s in enumerate(t.sums) for row in zip(*s)]
+    merged = {}
+    for b, node, *rest in sums:
+        merged[b, int(node)] = np.add(merged.get((b, int(node)), 0), rest)
+    at, rest = np.array(list(merged)), np.array(list(merged.values()))
+    top = context_tree.Top.of(at[:, 0], at[:, 1].astype(np.uint64), rest[:, 0].astype(np.int64), rest[:, 1].astype(np.int64), rest[:, 2])
+    for t in trees.values():
+        t.predict(top)
+    empty = context_tree.Cell(keys[:0], counts[:0], 3)
+    empty.predict(top)
+    key = lambda context, byte: np.uint64(int.from_bytes(context[::-1] + bytes([byte]), "big"))
+    log10 = lambda k: trees.get(int(context_tree.cell_of(np.array([k]), 3)[0]), empty).log10(np.array([k]))[0]
+    for context in (b"\n\n\n", texts[0][:3], b"zzz", b"\xc3\xa9q"):
+        assert math.isclose(sum(10 ** log10(key(context, x)) for x in range(256)), 1.0, rel_tol=1e-6)
+    # bits of contexts seen at full depth: the weighted probability with one more bit, over that without
+    count, weighted = brute_tree(texts, 3)
+    for context, byte in [(b"\n\n\n", texts[1][0]), (texts[0][2:5], texts[0][5]), (texts[3][7:10], texts[3][10])]:
+        bits, want = f"{byte:08b}", 0.0
+        for b in range(8):
+            root = (b"", bits[:b])
+            path = {(context[3 - d :], bits[:b]) for d in range(4)}
+            want += weighted(root, int(bits[b]), path) - weighted(root, None, ())
+        assert math.isclose(log10(key(context, byte)), want / math.log(10), rel_tol=1e-6)
+    # a context whose farther bytes were never seen ends where the known path does; the nearest two bytes decide
+    assert math.isclose(log10(key(b"\x00" + texts[0][3:5], texts[0][5])), log10(key(b"\x01" + texts[0][3:5], texts[0][5])))
+
+
+def test_context_tree_slabs_do_not_matter(spark, docs, monkeypatch):
+    known = lambda: sorted((r["doc_id"] or -1, r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in context_tree.score(docs.repartition(1)).collect())
+    whole = known()
+    real = context_tree._slab_batches
+
+    def small(batches, depth):
+        context_tree.SLAB = 1000
+        yield from real(batches, depth)
+
+    monkeypatch.setattr(context_tree, "_slab_batches", small)
+    assert all(a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-4) for a, b in zip(whole, known()))
+
+
+def test_packing():
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.integers(0, 1 << 56, 1000, dtype=np.uint64))
+    assert (context_tree.unpacked_keys(context_tree.packed_keys(keys)) == keys).all() and len(context_tree.unpacked_keys(context_tree.packed_keys(keys[:0]))) == 0
+    assert context_tree.unpacked_text(context_tree.packed_text(b"a b")) == b"a b" and context_tree.unpacked_text(context_tree.packed_text(b"")) == b""
+    values = rng.normal(size=100) * 20
+    assert np.allclose(context_tree.unpacked(context_tree.packed(context_tree.rounded(values)), np.float32), values, rtol=2.0**-16)
 
 
 def test_learned_partitions(spark):
