@@ -104,9 +104,9 @@ def grams(texts: list[bytes], depth: int) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and their counts."""
+    """Distinct keys in order and their counts; without counts `keys` are sorted in place."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         return keys[first], np.diff(np.append(first, len(keys)))
     order = np.argsort(keys)
@@ -320,7 +320,7 @@ def _slab_rows(slab: int, ids: list, held: list[bool], texts: list[bytes], depth
     keys, counts = summed(grams(learned, depth))
     if rest:
         trained = keys
-        keys = np.union1d(keys, summed(grams(rest, depth))[0])
+        keys = summed(np.concatenate([keys, summed(grams(rest, depth))[0]]))[0]
         place, counts_of = np.searchsorted(keys, trained), counts
         counts = np.zeros(len(keys), np.int64)
         counts[place] = counts_of
@@ -458,19 +458,30 @@ def _answer_batches(batches: Iterator[pa.RecordBatch], top: Top, depth: int) ->
 
 
 def _scores(texts: list[bytes], answers: dict[int, bytes], depth: int) -> np.ndarray:
-    """log10 probability of each text from the answers to its slab's grams."""
-    keys = grams(texts, depth)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = _firsts(keys)
-    distinct, counts = keys[first], np.diff(np.append(first, len(keys)))
-    del keys
-    by, parts = by_cell(distinct, depth)
-    value = np.empty(len(distinct), np.float32)
+    """log10 probability of each text from the answers to its slab's grams.
+
+    Of 256 texts at a time grams and the text's number share a machine word, so one sort groups equal grams and keeps apart whose they are.
+    """
+    tagged, distinct = [], []
+    for lo in range(0, len(texts), 256):
+        part = texts[lo : lo + 256]
+        keys = grams(part, depth) << np.uint64(8)
+        keys |= np.repeat(np.arange(len(part), dtype=np.uint64), [len(t) for t in part])
+        keys.sort()
+        tagged.append(keys)
+        keys = keys >> np.uint64(8)
+        distinct.append(keys[_firsts(keys)])
+    known = summed(np.concatenate(distinct))[0]
+    by, parts = by_cell(known, depth)
+    value = np.empty(len(known), np.float32)
     for c, a, b in parts:
         value[by[a:b]] = unpacked(answers[c], np.float32)
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    return np.bincount(text_of[order], np.repeat(value, counts), len(texts))
+    out = []
+    for lo, keys, own in zip(range(0, len(texts), 256), tagged, distinct):
+        first = _firsts(keys >> np.uint64(8))
+        each = np.repeat(value[np.searchsorted(known, own)], np.diff(np.append(first, len(keys))))
+        out.append(np.bincount((keys & np.uint64(255)).astype(np.uint8), each, min(256, len(texts) - lo)))
+    return np.concatenate(out)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -493,7 +504,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa
             log = {w: math.log10(c + 0.1) for w, c in count.items()}
             ids, held = batch.column("ids")[i].values, batch.column("held")[i].as_py()
             known = [sum(count[w] > 0 for w in ws) if h else len(ws) for ws, h in zip(split, held)]
-            logs = [math.fsum(map(log.__getitem__, ws)) for ws in split]
+            logs = [sum(map(log.__getitem__, ws)) for ws in split]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(held, pa.bool_()), pa.array(list(map(len, split)), pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(_scores(texts, answers, depth), pa.float64())],
                 names=["doc_id", "held_out", "n_words", "known", "logs", "score"],
@@ -505,9 +516,9 @@ def _score_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa
 
 
 def score(docs: DataFrame, depth: int = DEPTH, held_modulus: int = 10) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `depth` is from LOW to 7."""
-    if not LOW <= depth <= 7:
-        raise ValueError(f"depth is from {LOW} to 7")
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `depth` is from LOW to 6, so that a gram and a text's number fit in a machine word."""
+    if not LOW <= depth <= 6:
+        raise ValueError(f"depth is from {LOW} to 6")
     held = F.coalesce(id_residue(F.col("doc_id"), held_modulus) == 0, F.lit(True))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(
