@@ -1,11 +1,10 @@
 """Word lists, tables and small patterns of the rules: fixed values, as text."""
 
 INCOTERM_NOT_LOCATION = (
-    "arrivee", "arrivée", "bestimmungsort", "carrier", "commercial", "compris", "consegna", "delivered", "delivery", "depart", "depart",
-    "destinataire", "destination", "destination", "destinazione", "destino", "destino", "duties", "duty", "départ", "entregada", "entregue",
-    "exclu", "exclus", "frais", "franco", "franco", "franco", "franco", "free", "frei", "freight", "geliefert", "inclus", "incoterm",
-    "incoterms", "international", "lieferung", "lieu", "livraison", "livre", "livree", "loaded", "lugar", "lugar", "luogo", "named", "paid",
-    "place", "place", "porto", "porto", "puerto", "rendu", "rendue", "shipping", "termes", "termes", "transfert", "transport", "transport",
+    "arrivee", "arrivée", "bestimmungsort", "carrier", "commercial", "compris", "consegna", "delivered", "delivery", "depart", "destinataire",
+    "destination", "destinazione", "destino", "duties", "duty", "départ", "entregada", "entregue", "exclu", "exclus", "frais", "franco", "free",
+    "frei", "freight", "geliefert", "inclus", "incoterm", "incoterms", "international", "lieferung", "lieu", "livraison", "livre", "livree",
+    "loaded", "lugar", "luogo", "named", "paid", "place", "porto", "puerto", "rendu", "rendue", "shipping", "termes", "transfert", "transport",
     "transporteur", "unloaded", "unverzollt", "verzollt", "ware", "warehouse",
 )
 SITE_KEYWORDS = {
@@ -41,8 +40,8 @@ SITE_KEYWORDS = {
     },
 }
 PLANT_LINKERS = (
-    "a", "an", "au", "aux", "da", "das", "das", "de", "degli", "dei", "del", "della", "delle", "den", "der", "des", "di", "die", "do", "dos",
-    "du", "en", "in", "la", "le", "les", "of", "the", "vom", "von", "w", "à",
+    "a", "an", "au", "aux", "da", "das", "de", "degli", "dei", "del", "della", "delle", "den", "der", "des", "di", "die", "do", "dos", "du", "en",
+    "in", "la", "le", "les", "of", "the", "vom", "von", "w", "à",
 )
 PLANT_NOISE = (
     "address", "and", "client", "code", "contact", "customer", "date", "destinataire", "email", "et", "expediteur", "facilities", "facility",
@@ -108,14 +107,13 @@ HEADER_ACRONYMS = (
     "S.A.R.L", "S.A.R.L.", "S.A.S", "S.A.S.", "T.V.A", "T.V.A.", "U.K", "U.K.", "U.S.A", "U.S.A.",
 )
 TECHNICAL_ACRONYMS = (
-    "A", "AC", "AFNOR", "API", "ASCII", "ATEX", "BE", "BG", "BGA", "CE", "CH", "CHF", "CM", "CN", "CNY", "CSA", "CSV", "CZ", "DC", "DE", "DE",
-    "DIN", "DIP", "EN", "EN", "ES", "ES", "ETI", "EU", "EUR", "FR", "FR-4", "FR4", "G", "GBP", "GST", "GmbH", "HP", "HT", "HZ", "I/O", "IECEx",
-    "IO", "IP54", "IP55", "IP65", "IP66", "IP67", "IP68", "IP69", "ISO", "IT", "IT", "Inc", "JP", "JPY", "JSON", "KG", "KHZ", "KM", "KR", "KV",
-    "KW", "L", "L/MIN", "LCD", "LED", "LLC", "Ltd", "M", "M3", "MA", "MAX", "MG", "MHZ", "MIN", "ML", "MM", "MV", "MW", "N", "NB", "NB.", "NEF",
-    "NEUF", "NF", "NIL", "NL", "NPN", "OK", "OKAY", "OLED", "PCB", "PCBA", "PCE", "PCS", "PDF", "PL", "PLC", "PME", "PME", "PMI", "PMI", "PNP",
-    "PRO", "PT", "PT", "PWM", "QFN", "RAL", "REACH", "REF", "REF.", "RG", "RGB", "RMB", "RoHS", "SA", "SAR", "SARL", "SAS", "SAV", "SCH", "SMT",
-    "STD", "STDARD", "SpA", "TFT", "TG", "TR", "TTC", "TVA", "UK", "UL", "US", "USA", "USB", "USB-3", "USB-A", "USB-C", "USB2", "USB3", "USD",
-    "UTF", "V", "VAT", "W", "XML", "Y",
+    "A", "AC", "AFNOR", "API", "ASCII", "ATEX", "BE", "BG", "BGA", "CE", "CH", "CHF", "CM", "CN", "CNY", "CSA", "CSV", "CZ", "DC", "DE", "DIN",
+    "DIP", "EN", "ES", "ETI", "EU", "EUR", "FR", "FR-4", "FR4", "G", "GBP", "GST", "GmbH", "HP", "HT", "HZ", "I/O", "IECEx", "IO", "IP54", "IP55",
+    "IP65", "IP66", "IP67", "IP68", "IP69", "ISO", "IT", "Inc", "JP", "JPY", "JSON", "KG", "KHZ", "KM", "KR", "KV", "KW", "L", "L/MIN", "LCD", "LED",
+    "LLC", "Ltd", "M", "M3", "MA", "MAX", "MG", "MHZ", "MIN", "ML", "MM", "MV", "MW", "N", "NB", "NB.", "NEF", "NEUF", "NF", "NIL", "NL", "NPN",
+    "OK", "OKAY", "OLED", "PCB", "PCBA", "PCE", "PCS", "PDF", "PL", "PLC", "PME", "PMI", "PNP", "PRO", "PT", "PWM", "QFN", "RAL", "REACH", "REF",
+    "REF.", "RG", "RGB", "RMB", "RoHS", "SA", "SAR", "SARL", "SAS", "SAV", "SCH", "SMT", "STD", "STDARD", "SpA", "TFT", "TG", "TR", "TTC", "TVA",
+    "UK", "UL", "US", "USA", "USB", "USB-3", "USB-A", "USB-C", "USB2", "USB3", "USD", "UTF", "V", "VAT", "W", "XML", "Y",
 )
 BANK_INLINE_STOPS = (
     "any", "at", "autre", "by", "das", "der", "die", "ein", "eine", "el", "every", "for", "from", "her", "his", "in", "la", "las", "le", "los",
@@ -190,12 +188,12 @@ COMPANY_NOISE = (
     "expediteur", "express", "externe", "facturation", "facture", "forfait", "fournisseur", "gateway", "general", "gerant", "gesamt", "gross",
     "ground", "hours", "ht", "include", "incoterm", "individuelle", "informations", "interlocuteur", "interne", "invoice", "issued", "issuer",
     "kbis", "konto", "kunde", "la", "las", "le", "legales", "les", "lieferant", "ligne", "lignes", "limitee", "livraison", "long", "los", "mail",
-    "manager", "menge", "mentions", "modalites", "montant", "monthly", "naf", "name", "net", "net", "objet", "of", "office", "or", "order",
-    "page", "page", "pages", "payment", "personnelles", "plan", "preis", "president", "presidente", "principal", "protection", "quantite", "rcs",
-    "rechnung", "recipient", "reciproques", "reference", "regement", "regle", "reglement", "regles", "remise", "represente", "responsabilite",
-    "responsable", "reverse", "seller", "sender", "service", "shipped", "shipping", "short", "simplifiee", "siren", "siret", "social", "somme",
-    "sous-total", "speciale", "subject", "subtotal", "summe", "supplier", "tarification", "technicien", "title", "total", "total", "totaux",
-    "tracking", "transporteur", "ttc", "tva", "und", "value", "van", "vendeur", "vendor", "visite", "von",
+    "manager", "menge", "mentions", "modalites", "montant", "monthly", "naf", "name", "net", "objet", "of", "office", "or", "order", "page", "pages",
+    "payment", "personnelles", "plan", "preis", "president", "presidente", "principal", "protection", "quantite", "rcs", "rechnung", "recipient",
+    "reciproques", "reference", "regement", "regle", "reglement", "regles", "remise", "represente", "responsabilite", "responsable", "reverse",
+    "seller", "sender", "service", "shipped", "shipping", "short", "simplifiee", "siren", "siret", "social", "somme", "sous-total", "speciale",
+    "subject", "subtotal", "summe", "supplier", "tarification", "technicien", "title", "total", "totaux", "tracking", "transporteur", "ttc", "tva",
+    "und", "value", "van", "vendeur", "vendor", "visite", "von",
 )
 COMPANY_PARTICLES = (
     "&", "and", "da", "das", "de", "des", "do", "dos", "du", "et", "la", "le", "les", "of", "und", "y",
@@ -210,21 +208,19 @@ TITLE_PREFIXES = (
 )
 TITLE_SUFFIXES = ("先生", "女士", "小姐", "夫人", "様", "さん", "君", "殿", "ちゃん", "氏", "サン")
 TOKEN_STOPS = (
-    "acheteur", "agency", "agreement", "amount", "and", "bank", "bestellung", "born", "branch", "buyer", "class", "client", "client", "code",
-    "column", "commande", "contract", "contrat", "customer", "da", "das", "date", "de", "delivery", "den", "der", "des", "designation",
-    "destinataire", "di", "do", "dos", "du", "désignation", "el", "et", "expediteur", "facture", "fournisseur", "freight", "hour",
-    "interlocuteur", "invoice", "item", "kaufer", "kunde", "la", "las", "le", "les", "level", "lieferant", "line", "loading", "los",
-    "manufacturer", "montant", "name", "ne", "nee", "number", "numero", "numéro", "née", "of", "office", "order", "page", "partie", "parties",
-    "parties", "party", "pickup", "place", "point", "price", "purchase", "quantite", "quantity", "quantité", "receiving", "rechnung",
-    "reference", "remise", "responsable", "row", "référence", "seller", "sending", "service", "service", "shipping", "signataire", "supplier",
-    "ten", "ter", "the", "time", "title", "total", "transport", "transporteur", "type", "und", "unit", "unite", "unité", "unloading", "value",
-    "van", "vendeur", "vendor", "verkaufer", "von", "y", "zum", "zur",
+    "acheteur", "agency", "agreement", "amount", "and", "bank", "bestellung", "born", "branch", "buyer", "class", "client", "code", "column",
+    "commande", "contract", "contrat", "customer", "da", "das", "date", "de", "delivery", "den", "der", "des", "designation", "destinataire", "di",
+    "do", "dos", "du", "désignation", "el", "et", "expediteur", "facture", "fournisseur", "freight", "hour", "interlocuteur", "invoice", "item",
+    "kaufer", "kunde", "la", "las", "le", "les", "level", "lieferant", "line", "loading", "los", "manufacturer", "montant", "name", "ne", "nee",
+    "number", "numero", "numéro", "née", "of", "office", "order", "page", "partie", "parties", "party", "pickup", "place", "point", "price",
+    "purchase", "quantite", "quantity", "quantité", "receiving", "rechnung", "reference", "remise", "responsable", "row", "référence", "seller",
+    "sending", "service", "shipping", "signataire", "supplier", "ten", "ter", "the", "time", "title", "total", "transport", "transporteur", "type",
+    "und", "unit", "unite", "unité", "unloading", "value", "van", "vendeur", "vendor", "verkaufer", "von", "y", "zum", "zur",
 )
 LEGAL_TOKENS = (
-    "AB", "AG", "AKTIENGESELLSCHAFT", "AS", "BV", "BVBA", "CO", "CORP", "EG", "EI", "EIRL", "EURL", "EV", "GBR", "GESELLSCHAFT", "GMBH", "INC",
-    "KG", "LDA", "LLC", "LLP", "LTD", "MBH", "NV", "OHG", "OY", "PLC", "S.A", "S.A.R.L", "S.A.S", "S.A.S.U", "SA", "SA", "SAPA", "SARL", "SARLU",
-    "SAS", "SAS", "SASU", "SCA", "SCI", "SCOP", "SCP", "SCRI", "SCRL", "SCS", "SELARL", "SELAS", "SNC", "SNS", "SP", "SPA", "SPRL", "SPRLU",
-    "SRL", "VOF",
+    "AB", "AG", "AKTIENGESELLSCHAFT", "AS", "BV", "BVBA", "CO", "CORP", "EG", "EI", "EIRL", "EURL", "EV", "GBR", "GESELLSCHAFT", "GMBH", "INC", "KG",
+    "LDA", "LLC", "LLP", "LTD", "MBH", "NV", "OHG", "OY", "PLC", "S.A", "S.A.R.L", "S.A.S", "S.A.S.U", "SA", "SAPA", "SARL", "SARLU", "SAS", "SASU",
+    "SCA", "SCI", "SCOP", "SCP", "SCRI", "SCRL", "SCS", "SELARL", "SELAS", "SNC", "SNS", "SP", "SPA", "SPRL", "SPRLU", "SRL", "VOF",
 )
 HEADER_ABBREVIATIONS = (
     "anz", "art", "mng", "mt", "n", "no", "n°", "p.u", "pos", "position", "pu", "qtd", "qte", "qtite", "qtité", "qty", "qté", "ref", "réf",

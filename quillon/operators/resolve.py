@@ -10,30 +10,25 @@ from quillon.operators.spans import SPAN, SPANS, empty, overlaps, rebuilt, trimm
 
 # Detectors whose spans are certain, and priorities (0 where none is given).
 CERTIFIED = ("IbanRegex", "RibFrRegex", "EmailRegex", "OrgSingleton", "OrgSingletonLoose", "OrganizationsDenyList", "OrganizationsLooseDenyList", "PeopleDenyList", "PlacesDenyList", "SupplierDenyList")
-PRIORITY = {
-    100: "OrgSingleton",
-    96: "IbanRegex RibFrRegex RibFrFieldsRegex",
-    95: "EmailRegex SupplierDenyList HeaderSourceRegex",
-    92: "PlacesDenyList SiretRegex VatFrRegex",
-    90: "OrganizationsDenyList PeopleDenyList AffairNumberRegex ApeCodeRegex OrderRefByContextRegex",
-    88: "CapitalRegex ClientCodeRegex OrgSuffixRegex PlantCodeRegex TrackingRegex FiscalLabeledRegex",
-    87: "TableColumnsRegex",
-    86: "CommercialCellRegex",
-    85: "OrgSingletonLoose InternalRefRegex",
-    82: "AutomotiveOemDict CompactDateRegex",
-    80: "PostalEuRegex SirenRegex PhoneOceRegex PhoneUkRegex PhoneDeRegex PhoneEsRegex PhoneFrRegex PhoneLatamRegex PhoneUsRegex PostcodeCaRegex PostcodeUkRegex TitleDeRegex TitleEnRegex TitleEsRegex TitleItRegex TitlePtRegex",
-    78: "ParenContentRegex ContextualLocationRegex",
-    76: "AddressFragmentRegex",
-    75: "OrgStructureRegex ApartadoEsRegex ApartadoPtRegex BpRegex CasellaPostaleItRegex CepBrRegex CiviliteRegex ContextualPersonDeRegex ContextualPersonEnRegex ContextualPersonEsRegex ContextualPersonItRegex ContextualPersonPtRegex ContextualPersonRegex InitialSurnameDict NameCommaRegex PoBoxRegex PostalCityDeRegex PostalCityEsRegex PostalCityFrRegex PostalCityItRegex PostalCityPtRegex PostfachDeRegex ZoneFrRegex PhoneBrRegex PhoneItRegex PhonePtRegex",
-    70: "StreetDeRegex StreetEnRegex StreetEsRegex StreetFrRegex StreetItRegex StreetPtRegex ZipUsRegex",
-    65: "CityDict_de CityDict_en CityDict_es CityDict_fr CityDict_it CityDict_pt PrenomNomRegex",
-    60: "BicRegex StreetGluedRegex",
-    55: "FirstnameDict_de FirstnameDict_en FirstnameDict_es FirstnameDict_fr FirstnameDict_it FirstnameDict_pt",
-    50: "UrlRegex",
-    40: "PrenomNomGluedRegex",
-    30: "GLiNER",
+BY_TAG = {
+    "OrgSingleton": 100, "HeaderSourceRegex": 95, "IbanRegex": 96, "RibFrRegex": 96, "RibFrFieldsRegex": 96, "EmailRegex": 95,
+    "SupplierDenyList": 95, "VatFrRegex": 92, "SiretRegex": 92, "PlacesDenyList": 92, "OrganizationsDenyList": 90, "PeopleDenyList": 90,
+    "FiscalLabeledRegex": 88, "OrgSingletonLoose": 85, "SirenRegex": 80, "PhoneFrRegex": 80, "BicRegex": 60, "PostalCityFrRegex": 75,
+    "ZoneFrRegex": 75, "StreetFrRegex": 70, "BpRegex": 75, "PostalCityDeRegex": 75, "StreetDeRegex": 70, "PostfachDeRegex": 75,
+    "PostcodeUkRegex": 80, "ZipUsRegex": 70, "PostcodeCaRegex": 80, "StreetEnRegex": 70, "PoBoxRegex": 75, "PostalCityEsRegex": 75,
+    "StreetEsRegex": 70, "ApartadoEsRegex": 75, "PostalCityItRegex": 75, "StreetItRegex": 70, "CasellaPostaleItRegex": 75, "PhoneDeRegex": 80,
+    "PhoneUkRegex": 80, "PhoneUsRegex": 80, "PhoneOceRegex": 80, "PhoneEsRegex": 80, "PhoneLatamRegex": 80, "PhoneItRegex": 75, "TitleDeRegex": 80,
+    "ContextualPersonDeRegex": 75, "TitleEnRegex": 80, "ContextualPersonEnRegex": 75, "TitleEsRegex": 80, "ContextualPersonEsRegex": 75,
+    "TitleItRegex": 80, "ContextualPersonItRegex": 75, "CityDict_fr": 65, "CityDict_de": 65, "CityDict_en": 65, "CityDict_es": 65, "CityDict_it": 65,
+    "FirstnameDict_fr": 55, "FirstnameDict_de": 55, "FirstnameDict_en": 55, "FirstnameDict_es": 55, "FirstnameDict_it": 55, "FirstnameDict_pt": 55,
+    "CityDict_pt": 65, "PostalCityPtRegex": 75, "CepBrRegex": 75, "StreetPtRegex": 70, "ApartadoPtRegex": 75, "PhonePtRegex": 75, "PhoneBrRegex": 75,
+    "TitlePtRegex": 80, "ContextualPersonPtRegex": 75, "OrgSuffixRegex": 88, "NameCommaRegex": 75, "InitialSurnameDict": 75, "CiviliteRegex": 75,
+    "PrenomNomRegex": 65, "PrenomNomGluedRegex": 40, "ContextualPersonRegex": 75, "StreetGluedRegex": 60, "ContextualLocationRegex": 78,
+    "UrlRegex": 50, "GLiNER": 30, "OrderRefByContextRegex": 90, "PlantCodeRegex": 88, "TrackingRegex": 88, "AutomotiveOemDict": 82,
+    "ApeCodeRegex": 90, "CapitalRegex": 88, "InternalRefRegex": 85, "PostalEuRegex": 80, "OrgStructureRegex": 75, "CommercialCellRegex": 86,
+    "ParenContentRegex": 78, "ClientCodeRegex": 88, "CompactDateRegex": 82, "AddressFragmentRegex": 76, "TableColumnsRegex": 87,
+    "AffairNumberRegex": 90,
 }
-BY_TAG = {tag: n for n, tags in PRIORITY.items() for tag in tags.split()}
 
 
 def certified(s: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import fixtures, queries
-from quillon.functions import checks
+from quillon.functions import checks, labels
 from quillon.operators import detectors as D
 from quillon.operators import lists, ner
 from quillon.operators import sequential as S
@@ -99,3 +99,40 @@ def test_model_hook(spark):
 @pytest.mark.parametrize("family", queries.FAMILIES)
 def test_each_family_finds_something(spark, family):
     assert A.spans(fixtures.documents(spark), Options(families=(family,), **queries.BARE)).where(F.size("spans") > 0).count() > 0
+
+
+@pytest.mark.parametrize("kind", list(labels.TABLE_LABELS))
+def test_every_table_label_types_its_value(kind):
+    for label in labels.TABLE_LABELS[kind]:
+        # the value under a label that two kinds have is of the later kind
+        wanted = [k for k, v in labels.TABLE_LABELS.items() if label in v][-1]
+        got = S.table_columns(f"Page\n{label.title()} :\n12/03\nK-4711\n")
+        assert [(s.entity_type, s.text) for s in got] == [(wanted, "K-4711")], label
+
+
+def test_neutral_and_other_labels():
+    assert S.table_columns("Kunden Nr\nLieferadresse\nK-4711\nHafen 3\n") != []
+    for label in labels.NEUTRAL_LABELS:
+        if S.LABELS[label] is None:
+            assert [s.text for s in S.table_columns(f"{label}\nclient\nfirst 1\nsecond 2\n")] == ["second 2"], label
+    for other in ("total recall", "date limite", "telling"):
+        assert S.table_columns(f"{other}\nclient\nfirst 1\nsecond 2\n") == []
+    assert S.table_columns("client\n\nvotre commande\nfirst 1\nsecond 2\n") == []
+
+
+def test_persons_do_not_grow_over_noise():
+    def grown(text, name):
+        at = text.index(name)
+        return [s.text for s in S.persons_on_line(text, [S.Span(at, at + len(name), "PERSON", name, 0.8, "X", {})])[1:]]
+
+    assert grown("Monsieur Jean Dupont Telephone", "Jean Dupont") == []
+    assert grown("Madame DERENTINGER Melanie", "DERENTINGER") == ["DERENTINGER Melanie"]
+    assert grown("Jean Luc\nKLEE\n", "Jean Luc") == ["Jean Luc\nKLEE"]
+    for word in labels.PERSON_NOISE:
+        if word == S.fold(word):
+            assert grown(f"Jean Dupont {word.title()}", "Jean Dupont") == [], word
+
+
+def test_fold_changes_only_the_published_letters():
+    assert S.fold("ÉÀÇ ŞĞİı ŮŘ") == "eac sgii ur" and S.fold("øŐł’ß") == "øőł’ß".replace("ł", "l")
+    assert all(len(S.fold(c)) == 1 for c in S.ACCENTED) and not S.CJK.search("かな한글") and S.CJK.search("漢")
