@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.files import spread
+
 ORDER_FR = """# Fichier source: bon_de_commande_17.pdf
 Fabrik Nord SAS
 12 rue des Tanneurs
@@ -80,5 +82,5 @@ def documents(spark: SparkSession) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of the table, and the fixtures."""
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    table = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return table.unionByName(documents(spark).select("doc_id", "text", F.col("lang"), "source"))

@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.needs import first_characters
+
 MATCH = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -79,6 +81,8 @@ def to_java(pattern: str, group: str | int | None = None) -> Java:
         out.insert(0, "(")
         before = 1
     joined = "".join(out)
+    if lead := first_characters(pattern):
+        joined = f"(?=(?iu:{lead})){joined}"
     if any(x in joined for x in ("\\w", "\\W", "\\b", "\\B", "\\d", "\\D", "\\s", "\\S")):
         flags.add("U")
     return Java(f"(?{''.join(sorted(flags))}){joined}", before, tuple(range(1 + before, 1 + before + len(kept))))

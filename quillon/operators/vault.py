@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def derived_key(password: str, salt: bytes) -> bytes:
 
 def rows(masked: DataFrame) -> DataFrame:
     """doc_id, placeholder, original."""
-    return masked.select("doc_id", F.explode("vault").alias("e")).select("doc_id", F.col("e.placeholder").alias("placeholder"), F.col("e.original").alias("original"))
+    return masked.select("doc_id", F.explode_outer("vault").alias("e")).where("e IS NOT NULL").select("doc_id", F.col("e.placeholder").alias("placeholder"), F.col("e.original").alias("original"))
 
 
 def _key_column(spark: SparkSession, key: bytes):
@@ -33,6 +34,20 @@ def _key_column(spark: SparkSession, key: bytes):
     return spark.createDataFrame([(bytearray(key),)], "key binary").select("key").scalar()
 
 
+def _keys(salts: DataFrame, password: str) -> DataFrame:
+    """salt, key: one derivation for each distinct salt, on the workers."""
+    if len(password) < LEAST_PASSWORD:
+        raise VaultError(f"a password has {LEAST_PASSWORD} characters or more")
+
+    def run(batches):
+        for b in batches:
+            found = [derived_key(password, s) for s in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["salt", "key"])
+
+    # a derivation takes about half a second, so salts are spread over tasks
+    return salts.where("salt IS NOT NULL").repartition("salt").mapInArrow(run, "salt binary, key binary")
+
+
 def encrypt(masked: DataFrame, password: str) -> DataFrame:
     """doc_id, version, salt, payload: one payload per document, a fresh salt per call and a fresh nonce per row."""
     salt = os.urandom(SALT)
@@ -43,17 +58,10 @@ def encrypt(masked: DataFrame, password: str) -> DataFrame:
 
 
 def decrypt(stored: DataFrame, password: str) -> DataFrame:
-    """doc_id and vault. Raises where a payload does not open."""
-    salts = [bytes(r["salt"]) for r in stored.select("salt").distinct().limit(1001).collect()]
-    if len(salts) > 1000:
-        raise VaultError("over 1000 salts: open such vaults part by part")
-    out = None
-    for salt in salts:
-        key = _key_column(stored.sparkSession, derived_key(password, salt))
-        part = stored.where(F.col("salt") == F.lit(bytearray(salt))).select("doc_id", F.try_aes_decrypt("payload", key, F.lit("GCM"), F.lit("DEFAULT")).cast("string").alias("plain"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return stored.select("doc_id", F.array().cast(ENTRIES).alias("vault"))
+    """doc_id and vault. Raises where a payload does not open; any number of salts is joined to their keys."""
+    keys = _keys(stored.select("salt").distinct(), password)
+    opening = F.try_aes_decrypt("payload", "key", F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+    out = stored.join(keys, "salt", "left").select("doc_id", opening.alias("plain"))
     opened = F.when(F.col("plain").isNull(), F.raise_error(F.lit("wrong password or damaged vault"))).otherwise(F.col("plain"))
     return out.select("doc_id", F.from_json(opened, ENTRIES).alias("vault"))
 

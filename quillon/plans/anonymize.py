@@ -45,13 +45,13 @@ def lines(docs: DataFrame) -> DataFrame:
         )
         return F.aggregate(parts, state, step, lambda st: st["out"])
 
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(let(F.split("text", "\n", -1), placed)).alias("line_no", "l"))
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.posexplode_outer(let(F.split("text", "\n", -1), placed)).alias("line_no", "l"))
     return rows.select("doc_id", "line_no", "l.start", "l.end", "l.content")
 
 
 def spans(docs: DataFrame, o: Options = Options(), refined: bool = True) -> DataFrame:
     """Adds languages and spans (before resolution) to documents."""
-    found = prepared(docs).withColumn("languages", active_languages(F.col("lang"), o.primary_language))
+    found = prepared(docs).withColumn("languages", active_languages("lang", o.primary_language))
     raw = found.withColumn("spans", detect(F.col("languages"), o)).drop(LOWER, DIGIT)
     return refine(raw, o) if refined else raw
 
@@ -68,5 +68,6 @@ def anonymize(docs: DataFrame, o: Options = Options(), spaces: bool = True, pipe
 
 def exploded(docs: DataFrame) -> DataFrame:
     """doc_id, seq and the fields of each span."""
-    rows = docs.select("doc_id", F.posexplode("spans").alias("seq", "s"))
+    # the plain form lets the optimizer test the size of `spans` beside the scan, which would compute them twice
+    rows = docs.select("doc_id", F.posexplode_outer("spans").alias("seq", "s")).where("s IS NOT NULL")
     return rows.select("doc_id", "seq", "s.start", "s.end", "s.entity_type", "s.text", "s.score", "s.recognizer")

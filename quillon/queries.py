@@ -18,6 +18,7 @@ from quillon.operators.mask import by_category, mask
 from quillon.operators.resolve import resolve
 from quillon.plans import anonymize as A
 from quillon.sources import output
+from quillon.sources.files import spread
 
 FAMILIES = ("contact", "phone", "bank", "fiscal", "address", "place", "person", "organisation", "reference", "national_id")
 PASSWORD = "a demonstration password"
@@ -25,7 +26,7 @@ BARE = {"propagate": False, "expand": False, "protect": False}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(matches("html", D.pattern_of("email"))).alias("m"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode_outer(matches("html", D.pattern_of("email"))).alias("m")).where("m IS NOT NULL")
     return pages.select("page_id", F.col("m.start").cast("long").alias("start"), F.col("m.text").alias("text"))
 
 
@@ -57,7 +58,7 @@ def email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _emails(spark, sf_dir).select("doc_id", F.explode(by_category(F.col("spans"))).alias("entity_type", "n"))
+    counts = _emails(spark, sf_dir).select("doc_id", F.explode_outer(by_category(F.col("spans"))).alias("entity_type", "n")).where("entity_type IS NOT NULL")
     return counts.groupBy("entity_type").agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_docs"))
 
 
@@ -114,7 +115,7 @@ def rib_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def languages_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.prepared(fixtures.corpus(spark, sf_dir))
-    return rows.select("doc_id", F.explode(active_languages(F.col("lang"))).alias("language"))
+    return rows.select("doc_id", F.explode_outer(active_languages("lang")).alias("language"))
 
 
 def denylist_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

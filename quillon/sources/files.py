@@ -28,6 +28,17 @@ def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
     )
 
 
+def spread(rows: DataFrame, least: int = 2000) -> DataFrame:
+    """Rows over all cores if the table has at least `least` rows in fewer parts than there are cores.
+
+    A file of one row group is one task however the reader is set, and detection is dear per row. A table of parts enough, as large ones have,
+    stays as it is and is not shuffled. The count reads no column.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).count().agg(F.count("*").alias("n"), F.sum("count").alias("rows")).first()
+    return rows.repartition(cores) if parts["n"] < cores and (parts["rows"] or 0) >= least else rows
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page texts of PDF files as documents with `[PAGE n]` marks; needs a PDF library on the workers."""
     import pyarrow as pa

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import word_lists as W
-from quillon.functions.regex import let
+from quillon.functions.regex import let, to_java
 from quillon.operators.vault import encrypt
 
 
+#: Tokens in a block of running sums.
+RUN = 64
+
+
 def entity(s: Column) -> Column:
     """What the renderings show of a span: no original text."""
     return F.struct(
@@ -50,15 +54,39 @@ def to_xml(source: str = "source") -> Column:
 
 
 def conll_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, start, token, tag: tokens between white space with B, I or O."""
-    from quillon.functions.regex import matches
-    from quillon.plans.anonymize import lines
-
-    per_line = lines(docs).select("doc_id", "line_no", F.col("start").alias("line_start"), F.explode(matches(F.col("content"), r"\S+")).alias("m"))
-    tokens = per_line.select("doc_id", "line_no", (F.col("line_start") + F.col("m.start")).cast("int").alias("start"), F.col("m.text").alias("token"))
-    inside = F.get(F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"])), F.lit(0))
-    tag = F.when(inside.isNull(), F.lit("O")).otherwise(F.concat(F.when(inside["start"] == F.col("start"), "B-").otherwise("I-"), inside["entity_type"]))
-    return tokens.join(docs.select("doc_id", "spans"), "doc_id").select("doc_id", "line_no", "start", "token", tag.alias("tag"))
+    """doc_id, line_no, start, token, tag: tokens between white space with B, I or O.
+
+    A projection and an explode: each row's tokens meet its own spans, so ids may be null or repeated.
+    """
+    tokens = docs.where("text IS NOT NULL").select("doc_id", "spans", F.explode_outer(tokens_of(F.col("text"))).alias("t")).where("t IS NOT NULL")
+    inside = F.get(F.filter("spans", lambda s: (s["start"] <= F.col("t.start")) & (F.col("t.start") < s["end"])), F.lit(0))
+    tag = let(inside, lambda x: F.when(x.isNull(), F.lit("O")).otherwise(F.concat(F.when(x["start"] == F.col("t.start"), "B-").otherwise("I-"), x["entity_type"])))
+    return tokens.select("doc_id", "t.line_no", "t.start", "t.token", tag.alias("tag"))
+
+
+def tokens_of(text: Column) -> Column:
+    """Array of (line_no, start, token) of a text's tokens. Offsets come from sums over blocks of tokens and over the blocks, so a long text takes time in proportion."""
+    pattern = to_java(r"\S+").pattern
+    ints = "array<struct<at:int,line:int>>"
+    last = lambda a, k: F.coalesce(F.get(a, F.size(a) - 1)[k], F.lit(0))
+
+    def added(done: Column, x: Column) -> Column:
+        return F.concat(done, F.array(F.struct((last(done, "at") + x["at"]).alias("at"), (last(done, "line") + x["line"]).alias("line"))))
+
+    def ends(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda b: F.aggregate(F.slice(steps, b * RUN + 1, RUN), F.array().cast(ints), added))
+        before = lambda bs: F.aggregate(F.transform(bs, lambda b: F.struct(last(b, "at").alias("at"), last(b, "line").alias("line"))), F.array().cast(ints), added)
+        moved = lambda bs, sums: F.transform(bs, lambda b, i: F.transform(b, lambda x: F.struct(
+            (x["at"] + F.coalesce(F.get(sums, i - 1)["at"], F.lit(0))).alias("at"), (x["line"] + F.coalesce(F.get(sums, i - 1)["line"], F.lit(0))).alias("line")
+        )))
+        return let(blocks, lambda bs: let(before(bs), lambda sums: F.flatten(moved(bs, sums))))
+
+    def placed(m: Column, gaps: Column) -> Column:
+        steps = F.transform(m, lambda x, i: F.struct((F.length(F.get(gaps, i)) + F.length(x)).alias("at"), (F.length(F.get(gaps, i)) - F.length(F.translate(F.get(gaps, i), "\n", ""))).alias("line")))
+        token = lambda es: F.transform(m, lambda x, i: F.struct(F.get(es, i)["line"].alias("line_no"), (F.get(es, i)["at"] - F.length(x)).alias("start"), x.alias("token")))
+        return F.when(F.size(m) > 0, let(steps, lambda st: let(ends(st), token)))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps)))
 
 
 def to_conll() -> Column:
