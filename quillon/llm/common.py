@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.files import spread
+
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
@@ -86,7 +88,8 @@ def _forget() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; over all cores if its file has fewer parts than there are cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small(rows: DataFrame, limit: int) -> DataFrame:
