@@ -28,11 +28,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 @lru_cache(None)
-def to_java(pattern: str, group: str | int | None = None) -> Java:
+def to_java(pattern: str, group: str | int | None = None, lead: bool = True) -> Java:
     """From Python's syntax to Java's, with Unicode classes and case folding, and newline as the only line end.
 
     `group` names the part that is kept: a group's name, several joined by `|` (the one that took part), or 1 for the first plain group. If it stands outside other groups, what precedes it becomes
-    a group too, so that its offset is known exactly.
+    a group too, so that its offset is known exactly. `lead` puts a test of the first characters in front where that pays.
     """
     flags, body = {"u", "d"}, pattern
     while body.startswith("(?") and (end := body.find(")")) > 0 and body[2:end].isalpha():
@@ -81,8 +81,8 @@ def to_java(pattern: str, group: str | int | None = None) -> Java:
         out.insert(0, "(")
         before = 1
     joined = "".join(out)
-    if lead := first_characters(pattern):
-        joined = f"(?=(?iu:{lead})){joined}"
+    if lead and (start := first_characters(pattern)):
+        joined = f"(?=(?iu:{start})){joined}"
     if any(x in joined for x in ("\\w", "\\W", "\\b", "\\B", "\\d", "\\D", "\\s", "\\S")):
         flags.add("U")
     return Java(f"(?{''.join(sorted(flags))}){joined}", before, tuple(range(1 + before, 1 + before + len(kept))))

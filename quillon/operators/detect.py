@@ -76,7 +76,7 @@ def active_languages(lang: str, primary: str | None = None, text: str = "text")
 
 def detect(languages: Column, o: Options = Options(), text: str = "text") -> Column:
     """Raw spans of all detectors that are patterns, over prepared rows, in the order that decides ties; `families` of the options narrows them."""
-    chosen = lambda rows: [D.spans_of(d, text, languages) for d in rows if not o.families or d.family in o.families]
+    chosen = lambda rows: [D.spans_of(d, text, languages) for d in rows if D.in_families(d, o.families)]
     gate = lambda k, c: F.when(F.array_contains(languages, k), c).otherwise(F.array().cast(SPANS))
     listed = [
         lists.singleton(text, o.singleton), lists.singleton_loose(text, o.singleton),

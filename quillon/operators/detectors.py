@@ -209,13 +209,13 @@ def _national(tag: str, pattern: str, score: float = 0.9, keep: Keep | None = No
 UNIVERSAL: list[Detector] = [
     *_rows("contact", "EMAIL", [("EmailRegex", 0.95, "email", None, None, ("@",))]),
     *_rows("contact", "URL", [("UrlRegex", 0.7, "url", None, None, (".",))]),
-    Detector("IbanRegex", "IBAN", 0.85, "iban_start", family="bank", build=_ibans),
-    Detector("BicRegex", "BIC", 0.7, "bic", family="bank", build=_bics),
+    Detector("IbanRegex", "IBAN", 0.85, "iban_start", family="bank.account", build=_ibans),
+    Detector("BicRegex", "BIC", 0.7, "bic", family="bank.account", build=_bics),
     *_rows("place", "LOCATION", [("HeaderSourceRegex", 0.95, "header_source", 1, None, ("fichier",))]),
     *_rows("fiscal", "VAT", [("FiscalLabeledRegex", 0.9, "fiscal_labelled", 1)]),
-    Detector("RibFrRegex", "RIB", 0.85, "rib_label", family="bank", build=_ribs),
-    *_rows("bank", "RIB", [("RibFrFieldsRegex", 0.9, "rib_field", 1, None, ("banque", "guichet", "compte", "rib"))]),
-    *_rows("person", "DATE_OF_BIRTH", [("DateOfBirthRegex", 0.9, "birth_date", "dmy|ymd|cjk"), ("DateOfBirthRegex", 0.9, "birth_date_before", "dmy")]),
+    Detector("RibFrRegex", "RIB", 0.85, "rib_label", family="bank.account", build=_ribs),
+    *_rows("bank.context", "RIB", [("RibFrFieldsRegex", 0.9, "rib_field", 1, None, ("banque", "guichet", "compte", "rib"))]),
+    *_rows("person.birth", "DATE_OF_BIRTH", [("DateOfBirthRegex", 0.9, "birth_date", "dmy|ymd|cjk"), ("DateOfBirthRegex", 0.9, "birth_date_before", "dmy")]),
     _national("NationalIdRegex", "national_id", 0.85, _min_digits(1), "id"),
     _national("SocialSecurityFrRegex", "socsec_fr", 0.95, _context("socsec_fr_context", 60)),
     _national("UrssafRegex", "urssaf", needs=("urssaf",)),
@@ -274,11 +274,11 @@ UNIVERSAL: list[Detector] = [
         ("PhoneOceRegex", 0.85, "phone_oce", None, None, ("+",)),
         ("PhoneInternationalRegex", 0.85, "phone_international", None, None, ("+",)),
     ]),
-    *_rows("person", "PERSON", [
+    *_rows("person.name", "PERSON", [
         ("MaidenNameRegex", 0.85, "maiden_fr", "name", _first_word_not_in(W.MAIDEN_STOPS)),
         ("MaidenNameRegex", 0.85, "maiden_other", "name", _first_word_not_in(W.MAIDEN_STOPS)),
     ]),
-    *_rows("bank", "ORGANIZATION", [
+    *_rows("bank.context", "ORGANIZATION", [
         ("BankByContextRegex", 0.8, "bank_label", "bank", _first_word_not_in(W.BANK_STOPS)),
         ("BankByContextRegex", 0.7, "bank_inline", "bank", _first_word_not_in(W.BANK_INLINE_STOPS)),
         ("BankByContextRegex", 0.7, "bank_inline_cjk", "bank"),
@@ -287,25 +287,25 @@ UNIVERSAL: list[Detector] = [
     *_rows("place", "LOCATION", [("PlantCodeRegex", 0.85, "plant", None, _plant_name)]),
     *[
         d for name, carrier in (("dhl", "DHL"), ("ups", "UPS"), ("chronopost", "Chronopost/Colissimo"), ("fedex", "FedEx"), ("gls", "GLS"), ("dpd", "DPD"), ("tnt", "TNT"), ("schenker", "Schenker"))
-        for d in _rows("reference", "TRACKING", [("TrackingRegex", 0.9, f"tracking_{name}", "v", None, (), {"carrier": carrier})])
+        for d in _rows("reference.number", "TRACKING", [("TrackingRegex", 0.9, f"tracking_{name}", "v", None, (), {"carrier": carrier})])
     ],
-    *_rows("reference", "TRACKING", [("TrackingRegex", 0.9 * 0.95, "tracking_labelled", "v", _min_digits(4))]),
+    *_rows("reference.number", "TRACKING", [("TrackingRegex", 0.9 * 0.95, "tracking_labelled", "v", _min_digits(4))]),
     *_rows("fiscal", "APE_CODE", [
         ("ApeCodeRegex", 0.92, "ape", "value"),
         ("ApeCodeRegex", 0.92 * 0.9, "ape_orphan", "value", lambda t, s: F.regexp_like(lines_around(t, s["start"], 3), F.lit(to_java(PATTERNS["ape_context"]).pattern))),
     ]),
     *_rows("fiscal", "CAPITAL", [("CapitalRegex", 0.9, "capital", "value", _min_digits(4))]),
     *_rows("fiscal", "VAT", [("WeeeRegex", 0.92, "weee", "value")]),
-    *_rows("reference", "INTERNAL_REF", [("InternalRefRegex", 0.88, "internal_ref", "value", _all(_min_digits(1), _not_own_label))]),
+    *_rows("reference.own", "INTERNAL_REF", [("InternalRefRegex", 0.88, "internal_ref", "value", _all(_min_digits(1), _not_own_label))]),
     *[d for k in ("pt", "uk", "pl", "nl", "cz") for d in _rows("address", "LOCATION", [("PostalEuRegex", 0.85, f"postal_eu_{k}", "v", None, (), {"country": k.upper()})])],
     *_rows("organisation", "ORG_STRUCTURE", [("OrgStructureRegex", 0.78, "org_structure", "value")]),
-    *_rows("person", "PERSON", [("CommercialCellRegex", 0.85, "commercial_cell", "value", _first_word_not_in(W.CELL_NOT_A_NAME, "upper", ".,;:-_'"))]),
+    *_rows("person.name", "PERSON", [("CommercialCellRegex", 0.85, "commercial_cell", "value", _first_word_not_in(W.CELL_NOT_A_NAME, "upper", ".,;:-_'"))]),
     *_rows("organisation", "COMMENT", [("ParenContentRegex", 0.8, "paren", None, _distinctive, ("(",))]),
-    *_rows("reference", "CLIENT_CODE", [("ClientCodeRegex", 0.88, "client_code", "value", _min_digits(3, MONEY_WORDS))]),
+    *_rows("reference.client", "CLIENT_CODE", [("ClientCodeRegex", 0.88, "client_code", "value", _min_digits(3, MONEY_WORDS))]),
     *_rows("place", "LOCATION", [
         ("AddressFragmentRegex", 0.78 * 0.95, "toponym_cardinal", "value", _first_word_not_in(("notre", "votre", "leur", "bureau", "agence", "service", "departement", "direction"))),
     ]),
-    *_rows("reference", "AFFAIR_NUMBER", [("AffairNumberRegex", 0.88, "affair", "value", _min_digits(2, (*MONEY_WORDS, "JOUR", "JOURS", "SEM", "JANV", "FEV", "AVR")))]),
+    *_rows("reference.number", "AFFAIR_NUMBER", [("AffairNumberRegex", 0.88, "affair", "value", _min_digits(2, (*MONEY_WORDS, "JOUR", "JOURS", "SEM", "JANV", "FEV", "AVR")))]),
     *_rows("organisation", "ORGANIZATION", [("OrgSuffixRegex", 0.85, "org_suffix")]),
 ]
 
@@ -336,11 +336,11 @@ PHONE: list[Detector] = [
 ]
 
 NAMES: list[Detector] = [
-    *_rows("person", "PERSON", [("NameCommaRegex", 0.8, "name_comma"), ("CiviliteRegex", 0.85, "civilite"), ("PrenomNomRegex", 0.75, "prenom_nom"), ("ContextualPersonRegex", 0.75, "bigram_fr", None, _keywords(W.PERSON_KEYWORDS_FR, 40))], ("fr",)),
-    *_rows("person", "PERSON", [("TitleDeRegex", 0.85, "title_de")], ("de",)),
+    *_rows("person.name", "PERSON", [("NameCommaRegex", 0.8, "name_comma"), ("CiviliteRegex", 0.85, "civilite"), ("PrenomNomRegex", 0.75, "prenom_nom"), ("ContextualPersonRegex", 0.75, "bigram_fr", None, _keywords(W.PERSON_KEYWORDS_FR, 40))], ("fr",)),
+    *_rows("person.name", "PERSON", [("TitleDeRegex", 0.85, "title_de")], ("de",)),
     *[
         d for k, words in (("en", W.PERSON_KEYWORDS_EN), ("es", W.PERSON_KEYWORDS_ES), ("it", W.PERSON_KEYWORDS_IT), ("pt", W.PERSON_KEYWORDS_PT), ("bg", W.PERSON_KEYWORDS_BG))
-        for d in _rows("person", "PERSON", [(f"Title{k.title()}Regex", 0.85, f"title_{k}"), (f"ContextualPerson{k.title()}Regex", 0.75, f"bigram_{k}", None, _keywords(words, 40))], (k,))
+        for d in _rows("person.name", "PERSON", [(f"Title{k.title()}Regex", 0.85, f"title_{k}"), (f"ContextualPerson{k.title()}Regex", 0.75, f"bigram_{k}", None, _keywords(words, 40))], (k,))
     ],
 ]
 
@@ -354,8 +354,8 @@ INCOTERM = _rows("place", "LOCATION", [("IncotermLocationRegex", 0.85, "incoterm
 SITES = [d for k in W.SITE_KEYWORDS for d in _rows("place", "LOCATION", [("ContextualLocationRegex", 0.7, f"site_{k}", "value")], (k,))]
 #: Defined, but not part of detection unless asked for.
 OPTIONAL = [
-    *_rows("reference", "DATE", [("CompactDateRegex", 0.85, "compact_date", 1 if "(?P<" not in PATTERNS["compact_date"] else re.search(r"\(\?P<(\w+)>", PATTERNS["compact_date"])[1])]),
-    *_rows("person", "PERSON", [("PrenomNomGluedRegex", 0.55, "prenom_nom_glued")]),
+    *_rows("reference.number", "DATE", [("CompactDateRegex", 0.85, "compact_date", 1 if "(?P<" not in PATTERNS["compact_date"] else re.search(r"\(\?P<(\w+)>", PATTERNS["compact_date"])[1])]),
+    *_rows("person.name", "PERSON", [("PrenomNomGluedRegex", 0.55, "prenom_nom_glued")]),
 ]
 ALL = [*UNIVERSAL, *ADDRESS, *PHONE, *NAMES, *INCOTERM, *FISCAL_FR, *SITES]
 
@@ -370,6 +370,11 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({LOWER: F.lower(t), DIGIT: F.regexp_like(t, F.lit(r"\p{Nd}"))})
 
 
+def in_families(d: Detector, families: tuple[str, ...]) -> bool:
+    """Whether a detector's family, or the whole that it is a part of ("bank" of "bank.account"), is among them; without families, always."""
+    return not families or d.family in families or d.family.partition(".")[0] in families
+
+
 def spans_of(d: Detector, text: str = "text", languages: Column | None = None) -> Column:
     """The spans of one detector over the named column of prepared rows, as an array in order of position."""
     source, column = pattern_of(d.pattern), F.col(text)

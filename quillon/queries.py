@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon import fixtures
+from quillon import fixtures, oracle
 from quillon.functions import checks
 from quillon.functions.regex import matches
 from quillon.operators import detectors as D
-from quillon.operators import lists, reinject, vault
+from quillon.operators import language, lists, reinject, vault
 from quillon.operators import sequential as S
 from quillon.operators.detect import IN_ORDER, Options, active_languages
 from quillon.operators.mask import by_category, mask
@@ -20,7 +20,12 @@ from quillon.plans import anonymize as A
 from quillon.sources import output
 from quillon.sources.files import spread
 
-FAMILIES = ("contact", "phone", "bank", "fiscal", "address", "place", "person", "organisation", "reference", "national_id")
+#: Queries of detector families; SQL gives the same spans for those in IN_SQL.
+FAMILIES = {
+    "contact": "contact", "phone": "phone", "bank": "bank.context", "account": "bank.account", "fiscal": "fiscal", "address": "address", "place": "place", "person": "person.name", "birth": "person.birth",
+    "organisation": "organisation", "reference": "reference.number", "client": "reference.client", "own_reference": "reference.own", "national_id": "national_id",
+}
+IN_SQL = ("contact", "phone", "bank", "fiscal", "address", "place", "person", "organisation", "reference", "national_id")
 PASSWORD = "a demonstration password"
 BARE = {"propagate": False, "expand": False, "protect": False}
 
@@ -113,14 +118,21 @@ def rib_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", made.alias("rib")).withColumn("valid", checks.rib_valid(F.col("rib")))
 
 
+def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", language.detect_language(F.col("text")).alias("language"))
+
+
 def languages_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.prepared(fixtures.corpus(spark, sf_dir))
     return rows.select("doc_id", F.explode_outer(active_languages("lang")).alias("language"))
 
 
+#: Lists of the deny-list query: kind, entries.
+DENIED = (("organizations", ("Fabrik Nord", "Northwind Tools", "Werkzeug-Nord")), ("organizations_loose", ("Fabrik Nord", "Northwind Tools", "Werkzeug-Nord")), ("people", ("Julien Marchand", "Karl Lindner")), ("places", ("Hamburg", "Paris")), ("singleton", ("Northwind",)), ("singleton_loose", ("Northwind",)))
+
+
 def denylist_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"organizations": ("Fabrik Nord", "Northwind Tools", "Werkzeug-Nord"), "people": ("Julien Marchand", "Karl Lindner"), "places": ("Hamburg", "Paris")}
-    found = F.concat(lists.organizations("text", names["organizations"]), lists.organizations_loose("text", names["organizations"]), lists.people("text", names["people"]), lists.places("text", names["places"]), lists.singleton("text", ("Northwind",)), lists.singleton_loose("text", ("Northwind",)))
+    found = F.concat(*[getattr(lists, kind)("text", entries) for kind, entries in DENIED])
     return A.exploded(fixtures.corpus(spark, sf_dir).withColumn("spans", found))
 
 
@@ -138,7 +150,8 @@ def dictionary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _family(family: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return A.exploded(A.spans(fixtures.corpus(spark, sf_dir), Options(families=(family,), **BARE)))
+        """What the family's patterns find; rules that run in order have queries of their own."""
+        return A.exploded(A.spans(fixtures.corpus(spark, sf_dir), Options(families=(family,), **BARE), refined=False))
 
     return run
 
@@ -187,9 +200,9 @@ def anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         normalize_text, document_lines, email_spans, page_emails, email_mask, spans_by_category, vault_entries, opaque_placeholders, vault_encrypt_roundtrip, reinject_roundtrip,
-        reinject_trees, conll_tokens, entities_jsonl, renderings, iban_checksum, rib_checksum, languages_by_marker, denylist_spans, dictionary_spans, optional_spans, table_columns, sequential_spans, table_body_lines, resolved_spans, anonymize,
+        reinject_trees, conll_tokens, entities_jsonl, renderings, iban_checksum, rib_checksum, detected_language, languages_by_marker, denylist_spans, dictionary_spans, optional_spans, table_columns, sequential_spans, table_body_lines, resolved_spans, anonymize,
     )
-    return {f.__name__: f for f in plain} | {f"{k}_detectors": _family(k) for k in FAMILIES} | {
+    return {f.__name__: f for f in plain} | {f"{k}_detectors": _family(family) for k, family in FAMILIES.items()} | {
         "propagated_spans": _after(lambda t, s, k: S.propagated(t, s)),
         "expanded_spans": _after(lambda t, s, k: S.persons_on_line(t, S.organisations_on_line(t, s))),
         "allowlist_filtered": _after(lambda t, s, k: S.allowed(t, s, fixtures.LEXICON, (r"\d{2}/\d{2}/\d{4}",))),
@@ -236,7 +249,16 @@ FROM token t LEFT JOIN found f ON f.doc_id = t.doc_id AND f.start <= t.start AND
     for letter, number in zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", range(10, 36)):
         if letter in "WESTGB":
             digits = f"replace({digits}, '{letter}', '{number}')"
-    return {
+    stops = lambda k: f"2 * len(list_filter(ws, lambda w: list_contains([{', '.join(map(oracle.text, language.STOP_WORDS[k]))}], w)))" + (f" + length(regexp_replace(low, '[^{language.LETTERS[k]}]', '', 'g'))" if language.LETTERS[k] else "")
+    spoken = rf"""WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents
+), found AS (SELECT doc_id, low, regexp_extract_all(low, '\p{{L}}+') AS ws FROM low
+), scored AS (SELECT doc_id, {stops('fr')} AS fr, {stops('en')} AS en, {stops('de')} AS de, length(regexp_replace(low, '[^{language.JAPANESE[1:-1]}]', '', 'g')) AS ja, length(regexp_replace(low, '\P{{L}}', '', 'g')) AS letters FROM found)
+SELECT doc_id, CASE WHEN ja > 0 AND 2 * ja >= letters THEN 'ja' WHEN greatest(fr, en, de) = 0 THEN 'unknown' WHEN fr >= en AND fr >= de THEN 'fr' WHEN en >= de THEN 'en' ELSE 'de' END AS language FROM scored"""
+    return {f"{k}_detectors": oracle.family(FAMILIES[k]) for k in IN_SQL} | {
+        "denylist_spans": oracle.listed([(lists.alternation(entries, **oracle.LISTS[kind][3]), *oracle.LISTS[kind][:3]) for kind, entries in DENIED]),
+        "optional_spans": oracle.union([(D.pattern_of(d.pattern), d.group, d.entity, d.tag, d.score) for d in D.OPTIONAL]),
+        "languages_by_marker": f"WITH {oracle.languages()} SELECT doc_id, language FROM spoken",
+        "detected_language": spoken,
         "normalize_text": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\x{{FEFF}}', ''), '{spaces}', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g') AS text FROM documents",
         "document_lines": f'{lines} SELECT doc_id, line_no, start, start + length(content) AS "end", content FROM lines',
         "email_spans": f'{_EMAILS} SELECT doc_id, start, start + length(m) AS "end", m AS text FROM found',

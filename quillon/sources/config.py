@@ -84,6 +84,18 @@ def entries(node: Any, lexicon: bool = False) -> tuple[list[str], list[str]]:
     return words, patterns
 
 
+def labels_for(labels: dict[str, dict[str, list[str]]], category: str, language: str | None = None) -> list[str]:
+    """Labels of a category in one language, or in all: the first spelling of each, whatever the case, in order. The table (category, language, labels) is the caller's, from a file if large."""
+    found = labels.get(category, {})
+    if language is not None:
+        return list(found.get(language, ()))
+    first: dict[str, str] = {}
+    for of_language in found.values():
+        for label in of_language:
+            first.setdefault(label.lower(), label)
+    return list(first.values())
+
+
 def options(config: Config, **more: Any) -> Options:
     """Detection options from a configuration tree."""
     words, patterns = entries(config.get("allow_lists", {}))

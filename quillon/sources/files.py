@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.regex import matches
+from quillon.functions.regex import let, to_java
+from quillon.sources.output import tokens_of
 
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -82,13 +83,15 @@ def dictionary_spans(docs: DataFrame, entries: DataFrame, entity: str, tag: str,
     word = r"[^\s,.;:()\"]+"
     if words is None:
         words = max(entries.agg(F.max(F.regexp_count("entry", F.lit(word)))).first()[0] or 1, 1)
-    t = F.coalesce("text", F.lit(""))
-    words_at = docs.select("doc_id", t.alias("text"), matches(t, word).alias("t"))
-    grams = words_at.select(
-        "doc_id", "text",
-        F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.struct(x["start"].alias("start"), F.get("t", i + k)["end"].alias("end")))))).alias("g"),
-    ).where("g.end IS NOT NULL")
-    text = F.substring("text", F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    keyed = grams.select("doc_id", F.col("g.start").alias("start"), F.col("g.end").alias("end"), text.alias("text"), F.lower(F.regexp_replace(text, r"\s+", " ")).alias("key"))
+    t, java = F.coalesce("text", F.lit("")), to_java(word).pattern
+    # tokens and the gaps before them in turn, so that a gram is a slice of them and no text is cut again
+    pieces = let(F.split(t, java, -1), lambda gaps: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(java), F.lit(0)), lambda m, i: F.array(F.get(gaps, i), m))))
+    at = docs.select("doc_id", tokens_of(t, word).alias("t"), pieces.alias("p"))
+    gram = lambda x, i, k: F.struct(x["start"].alias("start"), F.array_join(F.slice("p", 2 * i + 2, 2 * k + 1), "").alias("text"))
+    whole = lambda x, i: F.transform(F.sequence(F.lit(0), F.least(F.lit(words), F.size("t") - i) - 1), lambda k: gram(x, i, k))
+    grams = at.select("doc_id", F.explode_outer(F.flatten(F.transform("t", whole))).alias("g")).where("g IS NOT NULL")
+    keyed = grams.select(
+        "doc_id", F.col("g.start").alias("start"), (F.col("g.start") + F.length("g.text")).cast("int").alias("end"), F.col("g.text").alias("text"), F.lower(F.regexp_replace("g.text", r"\s+", " ")).alias("key")
+    )
     listed = entries.select(F.lower("entry").alias("key")).distinct()
     return keyed.join(listed, "key", "left_semi").select("doc_id", "start", "end", F.lit(entity).alias("entity_type"), "text", F.lit(score).alias("score"), F.lit(tag).alias("recognizer"))

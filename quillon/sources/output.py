@@ -64,9 +64,9 @@ def conll_tokens(docs: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "t.line_no", "t.start", "t.token", tag.alias("tag"))
 
 
-def tokens_of(text: Column) -> Column:
-    """Array of (line_no, start, token) of a text's tokens. Offsets come from sums over blocks of tokens and over the blocks, so a long text takes time in proportion."""
-    pattern = to_java(r"\S+").pattern
+def tokens_of(text: Column, pattern: str = r"\S+") -> Column:
+    """Array of (line_no, start, token) of a text's tokens, parts that match a pattern. Offsets come from sums over blocks of tokens and over the blocks, so a long text takes time in proportion."""
+    pattern = to_java(pattern).pattern
     ints = "array<struct<at:int,line:int>>"
     last = lambda a, k: F.coalesce(F.get(a, F.size(a) - 1)[k], F.lit(0))
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from quillon import fixtures, queries
 from quillon.functions import checks, labels
 from quillon.operators import detectors as D
-from quillon.operators import lists, ner
+from quillon.operators import language, lists, ner
 from quillon.operators import sequential as S
 from quillon.operators.detect import Options, active_languages
 from quillon.plans import anonymize as A
+from quillon.sources import config
 
 CASES = [
     ("EmailRegex", "mail a.b@c-d.org now", ["a.b@c-d.org"]), ("EmailRegex", "no at sign", []),
@@ -96,7 +97,7 @@ def test_model_hook(spark):
     assert "".join(p for _, p in ner.chunks("ab\n" * 700)) == "ab\n" * 700
 
 
-@pytest.mark.parametrize("family", queries.FAMILIES)
+@pytest.mark.parametrize("family", [*queries.FAMILIES.values(), "bank", "person", "reference"])
 def test_each_family_finds_something(spark, family):
     assert A.spans(fixtures.documents(spark), Options(families=(family,), **queries.BARE)).where(F.size("spans") > 0).count() > 0
 
@@ -136,3 +137,19 @@ def test_persons_do_not_grow_over_noise():
 def test_fold_changes_only_the_published_letters():
     assert S.fold("ÉÀÇ ŞĞİı ŮŘ") == "eac sgii ur" and S.fold("øŐł’ß") == "øőł’ß".replace("ł", "l")
     assert all(len(S.fold(c)) == 1 for c in S.ACCENTED) and not S.CJK.search("かな한글") and S.CJK.search("漢")
+
+
+def test_language_of_a_text(spark):
+    cases = [
+        ("Bonjour, ceci est un texte en francais avec plusieurs mots.", "fr"), ("Hello, this is a sample English text with some words.", "en"), ("Guten Tag, dies ist ein Beispieltext auf Deutsch.", "de"),
+        ("こんにちは、これは日本語のテキストです。", "ja"), ("", "unknown"), ("   ", "unknown"), (None, "unknown"), ("12 34", "unknown"), ("xyzzy", "unknown"), ("Straße", "de"),
+    ]
+    rows = spark.createDataFrame([(t, w, None) for t, w in cases], "text string, wanted string, lang string")
+    assert all(r["got"] == r["wanted"] for r in rows.select("wanted", language.detect_language(F.col("text")).alias("got")).collect())
+    assert [r["lang"] for r in language.with_language(rows).collect()] == [None if w == "unknown" else w for _, w in cases]
+
+
+def test_labels_for():
+    table = {"CLIENT": {"fr": ["Client no", "N° client"], "en": ["Client No", "Sold to"]}, "NONE": {}}
+    assert config.labels_for(table, "CLIENT") == ["Client no", "N° client", "Sold to"] and config.labels_for(table, "CLIENT", "en") == ["Client No", "Sold to"]
+    assert config.labels_for(table, "CLIENT", "de") == config.labels_for(table, "OTHER") == config.labels_for(table, "NONE") == []
