@@ -18,6 +18,7 @@ other columns are not read. What a text holds of the tokenizer's special tokens
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from quillon.llm.common import passing, shared_folder, stored
 MASK, MAGIC = 0xA282EAD8, b"QREC0001"
 KEY = struct.Struct("<Bq")
 #: Words that a worker remembers (about 150 bytes each), and the longest of them.
-MEMO, MEMO_BYTES = 500_000, 64
+MEMO, MEMO_BYTES = 800_000, 64
 #: Input bytes per written file, about.
 FILE_TEXT = 32 << 20
 
@@ -67,8 +68,10 @@ def unframe(data: bytes | memoryview, at: int) -> tuple[memoryview, int]:
     return payload, at + 16 + n
 
 
-#: Characters that the pre-tokenizer always parts from a letter or digit before them.
-TAIL = b".,;:!?"
+#: Marks that the pre-tokenizer always parts from a letter or digit before them.
+TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?]")
+#: A character that stands between words encoded together; alone between blanks it is a token of its own.
+BETWEEN = "\x01"
 #: Words encoded in one call of the library.
 TOGETHER = 2000
 
@@ -76,9 +79,9 @@ TOGETHER = 2000
 class WordTokenizer:
     """The library's tokenizer, called on distinct words only.
 
-    Its normaliser and pre-tokenizer never reach across white space, which they drop, and part final marks from the letter or
-    digit before them; so the ids of a text are those of its words in order. New words go through the library many at a time, as one text; the
-    offsets of its tokens tell the words apart. A bounded memo, kept by the worker process, holds the ids of words as little-endian bytes.
+    Its normaliser and pre-tokenizer never reach across white space, which they drop, and part marks from the letter or
+    digit before them; so the ids of a text are those of its words in order, marks apart. New words go through the library many at a time, as one text with
+    a character between them whose id tells them apart. A bounded memo, kept by the worker process, holds the ids of words as little-endian bytes.
     """
 
     def __init__(self, text: str, special_as_text: bool = False):
@@ -86,40 +89,35 @@ class WordTokenizer:
         self.library.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        mark = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
 
     def _together(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        got = self.library.encode(" ".join(texts), add_special_tokens=False)
-        if not got.ids:
-            return [b""] * len(words)
-        ids = np.array(got.ids, f"<u{self.width}")
-        first = np.searchsorted(np.array(got.offsets)[:, 0], starts, side="left")
-        return [ids[a:b].tobytes() for a, b in zip(first, [*first[1:], len(ids)])]
+        texts, kind, width = [w.decode("utf-8", "replace") for w in words], f"<u{self.width}", self.width
+        joined = f" {BETWEEN} ".join(texts)
+        if self.mark is not None and joined.count(BETWEEN) == len(words) - 1:
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, kind)
+            cuts = (np.flatnonzero(ids == self.mark) * width).tolist()
+            if len(cuts) == len(words) - 1:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(data)])]
+        return [np.array(e.ids, kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct words; what is left after a word's final marks are cut off is looked up and encoded on its own."""
-        cut = {}
-        for w in words:
-            stem = w.rstrip(TAIL)
-            if len(stem) < len(w) and stem and stem[-1:].isalnum():
-                cut[w] = (stem, w[len(stem) :])
-        parts = {p for w in words for p in cut.get(w, (w,))}
-        known = {p: self.memo[p] for p in parts if p in self.memo}
-        new = sorted(parts - known.keys())
-        for lo in range(0, len(new), TOGETHER):
-            known.update(zip(new[lo : lo + TOGETHER], self._together(new[lo : lo + TOGETHER])))
-        self.stems = {p: known[p] for p in new if len(p) <= MEMO_BYTES}
-        return {w: b"".join([known[p] for p in cut.get(w, (w,))]) for w in words}
+        """Ids of distinct words."""
+        found: dict[bytes, bytes] = {}
+        for lo in range(0, len(words), TOGETHER):
+            found.update(zip(words[lo : lo + TOGETHER], self._together(words[lo : lo + TOGETHER])))
+        return found
 
     def _words(self, text: bytes) -> list[bytes]:
         """Words of a text. The library lower-cases; doing so for A-Z here only makes more words equal, but would turn other strings into special tokens."""
         low = text.lower()
         folded = [s.lower() for s in self.special]
         if not any(s in low for s in folded):
-            return low.split()
-        return [w if any(s in w.lower() for s in folded) else w.lower() for w in text.split()]
+            return TAIL.sub(rb" \g<0>", low).split()
+        return [p for w in text.split() for p in ([w] if any(s in w.lower() for s in folded) else TAIL.sub(rb" \g<0>", w.lower()).split())]
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Per text its ids as little-endian unsigned numbers of `width` bytes, the end id last."""
@@ -130,7 +128,6 @@ class WordTokenizer:
             self.memo = {w: self.memo[w] for w in set().union(*split) if w in self.memo}
         memo = self.memo
         if found:
-            memo.update(self.stems)
             memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_BYTES)
         if any(len(w) > MEMO_BYTES for w in found):
             return [b"".join([*(memo[w] if w in memo else found[w] for w in words), end]) for words in split]
