@@ -5,7 +5,7 @@ a document pools the log probabilities of all its positions. Its state starts an
 labels and a worker computes each once (words over CUT bytes are read in pieces of CUT). Training is backpropagation
 through time in numpy on word types of a bounded sample, each weighted by how often its languages use it.
 
-Bounds: at most ``per_language`` documents a language (by hash of the id) give at most ``types`` word types;
+Bounds: about ``per_language`` documents a language (each taken by a hash of its id, so the number is an expected one) give at most ``types`` word types;
 the network has a few thousand numbers. Defined results: a null text, or one without a letter, is `und` with score 0; repeated rows are labelled
 alike; without training rows every text is `und`; other columns are not read.
 """
@@ -210,7 +210,7 @@ class Labeller:
         self.rows = np.zeros((0, len(net.labels)), np.float32)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its probability per text: the mean of all positions' log probabilities, through a softmax."""
+        """Language and its probability per text: the sum of all positions' log probabilities over the square root of their number, through a softmax."""
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.net.labels:
             return labels, scores

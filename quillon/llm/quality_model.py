@@ -95,17 +95,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 12, rate: float = 8.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent, one document a step, on bucket vectors and output weights together.
-
-    Classes are weighted to count alike at first; the bias is then fitted so that scores are probabilities.
-    """
+def embed(examples: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 12, rate: float = 8.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket vectors and output weights by stochastic gradient descent, one document a step; classes are weighted to count alike."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << BITS, dim)).astype(np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    if not examples:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
     ys = np.array([y for y, _, _ in examples])
     share = np.clip(np.array([(ys == k).mean() for k in (0, 1)]), 1e-3, None)
     steps, done = epochs * len(examples), 0
@@ -127,6 +122,15 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epoc
             out -= (0.02 * lr) * np.outer(h, p)
             bias -= (0.01 * lr) * p
             table[ids] = rows - (lr * part)[:, None] * back
+    return table, out
+
+
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], **settings) -> Model:
+    """The embedding folded with its output weights, calibrated so that scores are probabilities."""
+    if not examples:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0)
+    table, out = embed(examples, **settings)
+    ys = np.array([y for y, _, _ in examples])
     weight = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
     raw = np.array([float(part @ weight[ids]) if len(ids) else 0.0 for _, ids, part in examples])
     slope, offset = _calibrated(raw, ys)
@@ -153,20 +157,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_residue(F.col("doc_id"), 5) != 0))
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id", sample_rows)
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", "doc_id")
-        .mapInArrow(_with_id, "y int, ids array<int>, shares array<float>, doc_id long")
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place"))
+        .mapInArrow(_with_place, "y int, ids array<int>, shares array<float>, place long")
         .toArrow()
     )
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    order = np.argsort(rows.column("place").to_numpy(), kind="stable")
     ys, ids, shares = rows.column("y").to_pylist(), rows.column("ids").combine_chunks(), rows.column("shares").combine_chunks()
     as_numpy = lambda a, i: a[i].values.to_numpy(zero_copy_only=False)
     return train([(int(ys[i]), as_numpy(ids, i), as_numpy(shares, i)) for i in order.tolist()], seed=seed)
 
 
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for out in _features(iter([batch])):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).cast(pa.int64())], names=["y", "ids", "shares", "doc_id"])
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], names=["y", "ids", "shares", "place"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -76,6 +76,67 @@ def test_quality_rules_learn_a_planted_rule(spark, docs, none, labels):
     assert quality_rules.apply_rules(docs, rules).columns == docs.columns
 
 
+def brute_rules(rows, cuts, max_rules=8, max_conditions=3, precision=0.85, least=8):
+    """Sequential covering by trying every condition on every row: (statistic, above, cut) lists."""
+    holds = lambda c, r: (r["v"][c[0]] > c[2]) == c[1]
+    rules, left = [], rows
+    while len(rules) < max_rules:
+        grown, reach = [], [r for r in left if not r["prune"]]
+        while len(grown) < max_conditions:
+            bad, best = sum(r["bad"] for r in reach), None
+            for name in cuts:
+                for cut in cuts[name]:
+                    for above in (False, True):
+                        covered = [r["bad"] for r in reach if holds((name, above, cut), r)]
+                        p, n = sum(covered), len(covered) - sum(covered)
+                        if p >= least and (p, n) != (bad, len(reach) - bad):
+                            gain = p * (math.log2(p / (p + n)) - math.log2(bad / len(reach)))
+                            if gain > 1e-9 and (best is None or gain > best[0]):
+                                best = (gain, (name, above, cut), n)
+            if not best:
+                break
+            grown.append(best[1])
+            reach = [r for r in reach if holds(best[1], r)]
+            if best[2] == 0:
+                break
+        worth = []
+        for i in range(len(grown)):
+            hit = [r["bad"] for r in left if r["prune"] and all(holds(c, r) for c in grown[: i + 1])]
+            p, n = sum(hit), len(hit) - sum(hit)
+            worth.append(((p - n) / (p + n) if p + n else -1.0, p, i, n))
+        if not worth or worth and (max(worth)[1] + max(worth)[3] == 0 or max(worth)[1] / (max(worth)[1] + max(worth)[3]) < precision):
+            break
+        rules.append(grown[: max(worth)[2] + 1])
+        left = [r for r in left if not all(holds(c, r) for c in rules[-1])]
+    return rules
+
+
+def test_quality_rules_equal_a_brute_force_learner(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(500):
+        w = prose(80 + i % 50, i).split()
+        if i % 4 == 0:
+            w[::9] = ["#|#"] * len(w[::9])
+        elif i % 7 == 0:
+            w = [x.upper() if rng.random() < 0.6 else x for x in w]
+        data.append((i, " ".join(w), int(not (i % 4 == 0 or i % 7 == 0 or rng.random() < 0.03))))
+    texts, marks = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in data], "doc_id long, quality int")
+    known = stored(quality_rules.labelled_statistics(texts, marks))
+    cuts = quality_rules._thresholds(known, 24)
+    plain = [
+        {"bad": r["bad"], "prune": r["for_pruning"], "v": r["v"].asDict()}
+        for r in known.select("bad", "for_pruning", F.struct(*[f(F.col("s")).alias(k) for k, f in quality_rules.TESTED.items()]).alias("v")).collect()
+    ]
+    got = [[(c.statistic, c.above, c.threshold) for c in rule.conditions] for rule in quality_rules.learn(known)]
+    want = brute_rules(plain, cuts)
+    assert len(got) >= 2 and got == want
+    verdicts = {r["doc_id"]: r["kept"] for r in quality_rules.score(texts, quality_rules.learn(known)).collect()}
+    rejected = lambda v: any(all((v[n] > c) == above for n, above, c in rule) for rule in want)
+    stats = texts.select("doc_id", quality_rules.statistics(F.col("text")).alias("s")).select("doc_id", quality_rules.base_failed(F.col("s")).alias("b"), F.struct(*[f(F.col("s")).alias(k) for k, f in quality_rules.TESTED.items()]).alias("v"))
+    assert all(verdicts[r["doc_id"]] == (not r["b"] and not rejected(r["v"].asDict())) for r in stats.collect())
+
+
 def test_mixing(docs, none):
     got = mixing.plan_mix(docs).collect()
     assert len(got) == docs.count() and sorted(map(str, got)) == sorted(map(str, mixing.plan_mix(docs.repartition(5)).collect()))
@@ -401,6 +462,37 @@ def test_language_gradients():
         assert abs((up - down) / (2 * eps) - grads[name][at]) < 5e-3 * max(1, abs(grads[name][at]))
 
 
+def test_language_positions_equal_a_plain_recurrence():
+    net = language_id.Network.fresh(["a", "b", "c"], 4, np.random.default_rng(2))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(word, side):
+        x, u, c, h, out = net.p[f"x{side}"], net.p[f"h{side}"], net.p[f"c{side}"], [0.0] * 4, []
+        for byte in word if side == "f" else reversed(word):
+            g = [sum(h[k] * float(u[k, j]) for k in range(4)) for j in range(12)]
+            a = [float(x[byte, j]) + float(c[j]) for j in range(12)]
+            z, r = [sigmoid(a[j] + g[j]) for j in range(4)], [sigmoid(a[4 + j] + g[4 + j]) for j in range(4)]
+            m = [math.tanh(a[8 + j] + r[j] * g[8 + j]) for j in range(4)]
+            h = [(1 - z[j]) * h[j] + z[j] * m[j] for j in range(4)]
+            out.append(h)
+        return out if side == "f" else out[::-1]
+
+    def of_word(word):
+        total = np.zeros(3)
+        for f, b in zip(states(word, "f"), states(word, "b")):
+            s = np.array(f + b) @ net.p["out"] + net.p["bias"]
+            total += s - np.log(np.exp(s - s.max()).sum()) - s.max()
+        return total
+
+    words_ = [b"abc", b"x", "é日本".encode(), b"longer-word"]
+    assert np.allclose(net.of_words(words_), [of_word(w) for w in words_], atol=1e-4)
+    text = "Abc x abc"
+    total = of_word(b"abc") * 2 + of_word(b"x")
+    z = (total - total.max()) / math.sqrt(7)
+    labels_, scores = language_id.Labeller(net).label([text])
+    assert labels_ == [net.labels[total.argmax()]] and math.isclose(scores[0], (np.exp(z) / np.exp(z).sum()).max(), rel_tol=1e-4)
+
+
 def test_languages(spark, docs, none):
     en, fr = ["the", "and", "with", "thing", "hand"], ["les", "des", "où", "çà", "élan"]
     data = [(i, " ".join(np.random.default_rng(i).choice(en if i % 2 else fr, 12)), "en" if i % 2 else "fr") for i in range(120)]
@@ -466,6 +558,31 @@ def test_quality_model(spark, docs, none, labels):
     assert {r["score"] for r in quality_model.score(docs, quality_model.fit(none, labels)).collect()} == {0.5}
 
 
+def test_folded_model_equals_the_softmax_of_its_embedding():
+    texts, ys = [prose(30, i) for i in range(40)], [i % 2 for i in range(40)]
+    examples = []
+    for t, y in zip(texts, ys):
+        total = Counter(f for w in quality_model.words(t) for f in quality_model.word_features(w))
+        n = sum(total.values())
+        examples.append((y, np.array(list(total)), np.array([c / n for c in total.values()], np.float32)))
+    table, out = quality_model.embed(examples, epochs=3)
+    raw = []
+    for t in texts:
+        vectors = [table[f] for w in quality_model.words(t) for f in quality_model.word_features(w)]
+        z = np.mean(vectors, axis=0) @ out
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        raw.append(math.log(p[1] / p[0]))
+    slope, offset = quality_model._calibrated(np.array(raw), np.array(ys))
+    model = quality_model.train(examples, epochs=3)
+    assert np.allclose([model.score(t) for t in texts], [1 / (1 + math.exp(-(slope * r + offset))) for r in raw], atol=2e-3)
+
+
+def test_quality_model_of_text_ids(spark):
+    texts = spark.createDataFrame([(f"d{i}", prose(40, i)) for i in range(30)], "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    assert quality_model.score(texts, quality_model.fit(texts, marks)).count() == 30
+
+
 def test_records(spark, docs, none):
     from pyarrow import fs
     from tokenizers import Tokenizer
@@ -541,6 +658,32 @@ def test_shards(spark, docs, none):
     assert sharding.shard(docs, 4).count() == docs.count() and sharding.shard(none, 4).count() == 0
 
 
+def test_cuts_of_the_tree_equal_weighted_quantiles(spark):
+    data = [(i, prose(3 + i * i % 90, i) + "\n" * (i % 5)) for i in range(900)] + [(2000 + i, "copy " * 40) for i in range(300)]
+    rows_ = stored(sharding._tied(stored(sharding.metadata(spark.createDataFrame(data, "doc_id long, text string"))), 6, 0.02))
+    root = sharding.grow(rows_, 6)
+    plain = [r.asDict() for r in rows_.collect()]
+    scale = {d: max(1, max(r[d] for r in plain) - min(r[d] for r in plain) + 1) for d in sharding.DIMENSIONS}
+
+    def check(node, part):
+        if node.left is None:
+            return
+        width = {d: max(r[d] for r in part) - min(r[d] for r in part) + 1 for d in sharding.DIMENSIONS}
+        assert node.dimension == max(sharding.DIMENSIONS, key=lambda d: (width[d] / scale[d], -sharding.DIMENSIONS.index(d)))
+        total = sum(r["size"] for r in part)
+        want, enough = total * (node.shards // 2) // node.shards, int(sharding.TOLERANCE * total / node.shards)
+        order, passed, exact = sorted(part, key=lambda r: (r[node.dimension], r["tie"])), 0, 0
+        for r in order:
+            passed += r["size"]
+            exact = passed if passed <= want else exact
+        left = [r for r in part if (r[node.dimension], r["tie"]) < node.cut]
+        assert exact - enough <= sum(r["size"] for r in left) <= want
+        check(node.left, left)
+        check(node.right, [r for r in part if (r[node.dimension], r["tie"]) >= node.cut])
+
+    check(root, plain)
+
+
 def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
@@ -550,3 +693,57 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
         now = stored(stage(spark, now, str(tmp_path)))
         assert now.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_equals_brute_force_by_stage(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+    import tiktoken
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    base = spark.createDataFrame([(3000 + i, prose(90, 60 + i) + f" tail{i}", "en", f"s{i % 3}") for i in range(40)] + [(4000 + i, prose(90, 60 + i) + " other", "en", None) for i in range(0, 40, 2)], "doc_id long, text string, lang string, source string")
+    odd = docs.select("doc_id", "text", "lang", "source")
+    now = stored(base.unionByName(odd).withColumn("row_id", F.lit(7)).repartition(3))
+    rows_of = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: stored(stages[name](spark, df, str(tmp_path)))
+
+    rules = quality_rules.learn(quality_rules.labelled_statistics(now, labels))
+    verdicts = Counter((r["doc_id"], r["kept"]) for r in quality_rules.score(now, rules).collect())
+    kept = run("quality rules", now)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({i: n for (i, ok), n in verdicts.items() if ok})
+    assert all(len(words(t)) >= 50 for _, t, _ in rows_of(kept))
+
+    model = quality_model.fit(kept, labels)
+    good = run("quality classifier", kept)
+    assert rows_of(good) == Counter({k: n for k, n in rows_of(kept).items() if model.score(k[1]) >= 0.3})
+
+    one = run("near-duplicates", good)
+    before = sorted(rows_of(good).elements(), key=str)
+    group = brute_classes([t for _, t, _ in before])
+    least = {}
+    for row, g in zip(before, group):
+        key = (row[0] is None, row[0] or 0)
+        least[g] = min(least.get(g, key), key)
+    after = rows_of(one)
+    assert after.total() == len(least) and Counter((i is None, i or 0) for i, _, _ in after.elements()) == Counter(least.values()) and not after - rows_of(good)
+
+    mixed = run("mixing", one)
+    plan = Counter()
+    for r in mixing.plan_mix(one).collect():
+        plan[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +plan and mixed.columns == now.columns
+
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(TIKTOKEN), special_tokens={})
+    done = stages["byte-level BPE"](spark, mixed, str(tmp_path)).collect()
+    want = Counter((i, len(encoding.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in rows_of(mixed).elements())
+    assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in done) == want
+
+
+def test_pipeline_of_an_empty_table(spark, none, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now = none
+    for _, stage in corpus_pipeline.STAGES:
+        now = stored(stage(spark, now, str(tmp_path)))
+        assert now.count() == 0
