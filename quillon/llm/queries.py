@@ -72,7 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS of_text,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -92,7 +92,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.of_text), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

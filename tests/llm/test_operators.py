@@ -162,6 +162,16 @@ def test_mixing(docs, none):
     assert mixing.plan_mix(none).count() == 0
 
 
+def test_mix_meets_targets_without_ids(spark):
+    data = [(None, prose(50 + i % 7, i), f"s{i % 3}") for i in range(3000)]
+    got = mixing.plan_mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["target"]] += r["taken"]
+        target[r["target"]] = r["target"]
+    assert len(target) == 3 and all(abs(taken[t] - t) < 0.12 * t for t in target)
+
+
 def fingerprint(text, width=4):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(max(1, len(w) - width + 1))] if w else []
