@@ -78,7 +78,8 @@ def simple(pattern: str, group: str | int | None) -> tuple[str, int, int, list[t
         opening, body = "(", body[1:]
     start = r"(\A|[^{0}])"
     if (m := re.match(r"\(\?<!(\[[^\]]*\]|\\.|.)\)", body)) is not None:
-        body, lead = body[m.end() :], start.format(written_out(f"[{_class_of(m[1])}]")[1:-1])
+        body, inside = body[m.end() :], written_out(f"[{_class_of(m[1])}]")[1:-1]
+        lead = rf"(\A|[{inside[1:]}])" if inside.startswith("^") else start.format(inside)
         body = body[2:] if body.startswith("\\b") else body
     elif body.startswith("\\b"):
         body, lead = body[2:], start.format(WORD)
@@ -263,3 +264,18 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY det, i) - 1
 
 def listed(rows: list[tuple[str, str, str, float]]) -> str:
     return union([(pattern, None, entity, tag, score) for pattern, entity, tag, score in rows])
+
+
+def dictionaries(names: tuple[str, ...], lists: list[tuple[str, str, str, float]], surnames: tuple[str, ...]) -> str:
+    """Spans of listed entries by pattern, of initials before surnames, and of the entries `names` as runs of whole words."""
+    edge = r"[^\s,.;:()\"]"
+    whole = rf"(?i)(?<!{edge})(?:{'|'.join(n.replace(' ', r'\s+') for n in names)})(?!{edge})"
+    rows = [(p, entity, tag, score, "") for p, entity, tag, score in lists]
+    known = ", ".join(text(x.lower()) for x in surnames)
+    rows.append((r"\b(?:[A-Z]\.|M\.|Mme|Mlle|Mr)[ \t]+[A-ZÀ-Þ][A-Za-zÀ-ÿ'\-]+", "PERSON", "InitialSurnameDict", 0.7, rf" WHERE lower(regexp_extract(m, '(\S+)$', 1)) IN ({known})"))
+    rows.append((whole, "PERSON", "FirstnameDict_join", 0.6, ""))
+    parts = [
+        f"""SELECT doc_id, CAST(start AS INT) AS start, CAST(start + length(m) AS INT) AS "end", '{entity}' AS entity_type, m AS text, CAST({score!r} AS DOUBLE) AS score, '{tag}' AS recognizer FROM ({hits('texts', p)}){where}"""
+        for p, entity, tag, score, where in rows
+    ]
+    return f"WITH {CORPUS}, texts AS (SELECT doc_id, text AS t FROM corpus WHERE text IS NOT NULL) {' UNION ALL '.join(parts)}"

@@ -256,6 +256,11 @@ FROM token t LEFT JOIN found f ON f.doc_id = t.doc_id AND f.start <= t.start AND
 SELECT doc_id, CASE WHEN ja > 0 AND 2 * ja >= letters THEN 'ja' WHEN greatest(fr, en, de) = 0 THEN 'unknown' WHEN fr >= en AND fr >= de THEN 'fr' WHEN en >= de THEN 'en' ELSE 'de' END AS language FROM scored"""
     return {f"{k}_detectors": oracle.family(FAMILIES[k]) for k in IN_SQL} | {
         "denylist_spans": oracle.listed([(lists.alternation(entries, **oracle.LISTS[kind][3]), *oracle.LISTS[kind][:3]) for kind, entries in DENIED]),
+        "dictionary_spans": oracle.dictionaries(
+            ("Julien", "Karl", "John", "northwind tools"),
+            [(lists.alternation(("Julien", "Karl", "John"), accents=True), "PERSON", "FirstnameDict_fr", 0.6), (lists.alternation(("Northwind Tools",), accents=True), "ORGANIZATION", "AutomotiveOemDict", 0.85), (lists.alternation(("Hamburg",), accents=True), "LOCATION", "CityDict_de", 0.7)],
+            ("Marchand",),
+        ),
         "optional_spans": oracle.union([(D.pattern_of(d.pattern), d.group, d.entity, d.tag, d.score) for d in D.OPTIONAL]),
         "languages_by_marker": f"WITH {oracle.languages()} SELECT doc_id, language FROM spoken",
         "detected_language": spoken,

@@ -11,7 +11,7 @@ from quillon.queries import IN_SQL
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-FAST = ("normalize_text", "document_lines", "email_spans", "email_mask", "vault_entries", "opaque_placeholders", "spans_by_category", "reinject_roundtrip", "entities_jsonl", "iban_checksum", "rib_checksum", "conll_tokens", "detected_language", "languages_by_marker", "denylist_spans", "optional_spans", *(f"{k}_detectors" for k in IN_SQL))
+FAST = ("normalize_text", "document_lines", "email_spans", "email_mask", "vault_entries", "opaque_placeholders", "spans_by_category", "reinject_roundtrip", "entities_jsonl", "iban_checksum", "rib_checksum", "conll_tokens", "detected_language", "languages_by_marker", "denylist_spans", "dictionary_spans", "optional_spans", *(f"{k}_detectors" for k in IN_SQL))
 
 
 def test_every_oracle_has_a_query():
