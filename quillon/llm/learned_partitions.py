@@ -5,8 +5,12 @@ vector, in which parts its neighbours lie. Every row is then indexed under its m
 until they hold a share of its probability, the least share that finds the wanted recall on a part of the sample kept out of training, and all
 candidates there are ranked by exact inner product. The number of parts grows with the rows, up to one per PER_SAMPLE sampled vectors.
 
-Skew: a part is cut into chunks by hash of the id, and its queries into blocks, so a task holds at most about CHUNK candidates and BLOCK
-queries, however many rows are alike; candidates go only to blocks of queries that probe their part, and of equal vectors in a chunk only those that can be among the nearest are ranked.
+Parts that lie side by side are joined into cells where queries would visit more than VISITS of them, so a query meets about VISITS tasks at most and each returns its k best: the rows
+made grow with the queries, not with the parts they ask. Inside a cell a query still meets only the parts it asks.
+
+Skew: a cell is cut into chunks by hash of the row, and its queries into blocks, so a task reads at most about CHUNK candidates, sorted by part and held a batch at a time, and holds BLOCK
+queries, however many rows are alike; candidates go only to blocks of queries that visit their cell, and of equal vectors in a batch only those that can be among the nearest are ranked.
+Past CHUNK rows a cell, a query meets a task more for every further CHUNK rows of it.
 
 Defined results: vectors that are null, zero, without components, or hold null or non-finite components, rows without
 an id, and vectors not of the usual length take no part; a query's own id is never its neighbour; ties go to the smaller id; a
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_sample, stored
 
-#: Candidates and queries that meet in a task (8 bytes a component), rows per part, and sampled vectors per part at least.
-CHUNK, BLOCK, PER_PART, PER_SAMPLE = 32768, 8192, 2048, 32
+#: Candidates that a task reads and queries that it holds, rows per part, sampled vectors per part at least, and cells that a query visits in the mean.
+CHUNK, BLOCK, PER_PART, PER_SAMPLE, VISITS = 1 << 20, 8192, 2048, 32, 8
 
 
 def usable(vector: Column) -> Column:
@@ -226,31 +230,116 @@ def _best_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return order[position(new) < 2 * k]
 
 
-def _rank(queries: pa.Table, candidates: pa.Table, k: int, width: int) -> pa.Table:
-    """The k best candidates of each query in this group."""
-    kinds = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not len(queries) or not len(candidates):
-        return kinds.empty_table()
-    row, qid, cid = queries.column("row").to_numpy(), queries.column("query_id").to_numpy(), candidates.column("vec_id").to_numpy()
-    q, c = _matrix(queries.column("embedding"), width), _matrix(candidates.column("embedding"), width)
-    kept = _best_of_equals(cid, c, k)
-    cid, c = cid[kept], c[kept]
-    out = []
-    for lo in range(0, len(q), 256):
-        s = q[lo : lo + 256] @ c.T
-        s[qid[lo : lo + 256, None] == cid[None, :]] = -np.inf
+class _Best:
+    """The k best candidates so far of a block of queries."""
+
+    def __init__(self, queries: pa.Table, k: int, width: int) -> None:
+        self.k, self.row, self.qid, self.q = k, queries.column("row").to_numpy(), queries.column("id").to_numpy(), _matrix(queries.column("embedding"), width)
+        self.score, self.vec_id = np.full((len(self.q), k), -np.inf), np.zeros((len(self.q), k), np.int64)
+        taken = queries.column("taken").combine_chunks()
+        parts, asker = taken.flatten().to_numpy(), np.repeat(np.arange(len(self.q)), taken.value_lengths().to_numpy())
+        self.asking = {p: asker[parts == p] for p in np.unique(parts)}
+
+    def add(self, part: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rank candidates of one part for the queries that ask it."""
+        at = self.asking.get(part)
+        if at is None:
+            return
+        kept = _best_of_equals(ids, x, self.k)
+        ids, x = ids[kept], x[kept]
+        step = max(1, min(1024, 2_000_000 // len(ids)))
+        for lo in range(0, len(at), step):
+            self._add(at[lo : lo + step], ids, x)
+
+    def _add(self, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        q, k = self.q[at], self.k
+        s = q @ x.T
+        s[self.qid[at][:, None] == ids[None, :]] = -np.inf
+        floor = self.score[at, k - 1][:, None]
         if s.shape[1] > k:
-            floor = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-            # rounding may differ by position in a matrix product, so near ties all go on and are summed anew
-            i, j = np.nonzero((s >= floor - 1e-9 * (1 + np.abs(floor))) & (s > -np.inf))
-        else:
-            i, j = np.nonzero(s > -np.inf)
-        exact = np.concatenate([(q[lo + i[a : a + 100_000]] * c[j[a : a + 100_000]]).sum(axis=1) for a in range(0, len(i), 100_000)] or [np.zeros(0)])
-        order = np.lexsort((cid[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
-        out.append(pa.table([row[lo + i[best]], qid[lo + i[best]], cid[j[best]], exact[best]], schema=kinds))
-    return pa.concat_tables(out)
+            floor = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+        # rounding may differ by position in a matrix product, so near ties all go on and are summed anew
+        i, j = np.nonzero((s >= floor - 1e-9 * (1 + np.abs(floor))) & (s > -np.inf))
+        if not len(i):
+            return
+        exact = np.concatenate([(q[i[a : a + 100_000]] * x[j[a : a + 100_000]]).sum(axis=1) for a in range(0, len(i), 100_000)])
+        old_i, old_j = np.nonzero(self.score[at] > -np.inf)
+        who, score, found = np.concatenate([old_i, i]), np.concatenate([self.score[at[old_i], old_j], exact]), np.concatenate([self.vec_id[at[old_i], old_j], ids[j]])
+        order = np.lexsort((found, -score, who))
+        who, score, found = who[order], score[order], found[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        best = place < k
+        self.score[at[who[best]], place[best]], self.vec_id[at[who[best]], place[best]] = score[best], found[best]
+
+    def table(self) -> pa.RecordBatch:
+        i, j = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.row[i], self.qid[i], self.vec_id[i, j], self.score[i, j])], names=["row", "query_id", "vec_id", "score"])
+
+
+def _rank(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query in each task's groups; rows come sorted by group and part, queries first (part -1)."""
+    group, waiting, best = None, [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(4)])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        for lo, hi in zip(starts, [*starts[1:], len(batch)]):
+            here, part, rows = tuple(keys[:3, lo]), int(keys[3, lo]), batch.slice(lo, hi - lo)
+            if here != group:
+                if best is not None:
+                    yield best.table()
+                group, waiting, best = here, [], None
+            if part < 0:
+                waiting.append(rows)
+                continue
+            if best is None and waiting:
+                best, waiting = _Best(pa.Table.from_batches(waiting), k, width), []
+            if best is not None:
+                best.add(part, rows.column(5).to_numpy(), _matrix(rows.column(6), width))
+    if best is not None:
+        yield best.table()
+
+
+def _cells(asked: DataFrame, parts: int) -> list[int]:
+    """The cell of each part: as many cells as leave queries at most VISITS of them in the mean."""
+    counts = [parts]
+    while counts[-1] > VISITS:
+        counts.append(-(-counts[-1] // 2))
+    ways = [[p * c // parts for p in range(parts)] for c in counts]
+    if len(ways) == 1:
+        return ways[0]
+    means = asked.agg(*[F.avg(F.size(_cells_of("taken", way))).alias(str(i)) for i, way in enumerate(ways)]).first()
+    return next((way for way, mean in zip(ways, means) if (mean or 0) <= VISITS), ways[-1])
+
+
+def _cells_of(taken: str, cell: list[int]) -> Column:
+    return F.array_distinct(F.transform(taken, lambda p: F.get(F.array(*[F.lit(c) for c in cell]), p)))
+
+
+def found(asked: DataFrame, rows: DataFrame, sizes: dict[int, int], k: int, router: Router) -> DataFrame:
+    """row, query_id, vec_id, score: for each query of `asked` the k best of every chunk of every cell that it visits."""
+    cell = _cells(asked, router.parts)
+    cell_of = lambda p: F.get(F.array(*[F.lit(c) for c in cell]), p)
+    visits = asked.select("row", F.col("query_id").alias("id"), "embedding", "taken", F.explode(_cells_of("taken", cell)).alias("cell"))
+    asking = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    held = [sum(sizes.get(p, 0) for p in range(router.parts) if cell[p] == c) for c in range(max(cell) + 1)]
+    chunks = F.array(*[F.lit(max(1, -(-n // CHUNK))) for n in held])
+    blocks = F.array(*[F.lit(-(-asking.get(c, 0) // BLOCK)) for c in range(len(held))])
+    order = ["cell", "chunk", "block", "part", "row", "id", "embedding", "taken"]
+    sent = (
+        visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(chunks, "cell") - 1)))
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.get(blocks, "cell")).cast("int"))
+        .withColumns({"part": F.lit(-1), "taken": F.filter("taken", lambda p: cell_of(p) == F.col("cell"))})
+    )
+    dealt = (
+        rows.select(F.col("vec_id").alias("id"), "embedding", "part", cell_of(F.col("part")).alias("cell")).where(F.get(blocks, "cell") > 0)
+        .withColumns({"chunk": F.pmod(F.xxhash64("id", "embedding"), F.get(chunks, "cell")).cast("int"), "row": F.lit(None).cast("long"), "taken": F.lit(None).cast("array<int>")})
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, "cell") - 1)))
+    )
+    keys = ["cell", "chunk", "block"]
+    mixed = sent.select(*order).unionByName(dealt.select(*order)).repartition(*keys).sortWithinPartitions(*keys, "part")
+    return mixed.mapInArrow(lambda batches: _rank(batches, k, router.width), "row long, query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | None = None, **fitting) -> DataFrame:
@@ -268,17 +357,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
     taken = F.filter("ranked", lambda p, i: (i < F.col("probes")) | (before(i) < 2 * k))
     once = rows.where("ranked IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding", taken.alias("taken")).dropDuplicates(["query_id", "embedding"])
     asked = stored(once.withColumn("row", F.monotonically_increasing_id()))
-    asking = {r["part"]: r["count"] for r in asked.select(F.explode("taken").alias("part")).groupBy("part").count().collect()}
-    chunks = F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // CHUNK))) for p in range(router.parts)])
-    blocks = F.array(*[F.lit(-(-asking.get(p, 0) // BLOCK)) for p in range(router.parts)])
-    sent = (
-        asked.select("row", "query_id", "embedding", F.explode("taken").alias("part"))
-        .select("row", "query_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.get(chunks, "part") - 1)).alias("chunk"), F.pmod(F.xxhash64("row"), F.get(blocks, "part")).cast("int").alias("block"))
-    )
-    dealt = rows.where(F.get(blocks, "part") > 0).select(
-        "vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.get(chunks, "part")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.get(blocks, "part") - 1)).alias("block")
-    )
-    keys = ["part", "chunk", "block"]
-    found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda a, b: _rank(a, b, k, router.width), "row long, query_id long, vec_id long, score double")
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found(asked, rows, sizes, k, router).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -430,6 +430,29 @@ def test_learned_partitions_probe_few_parts_of_clustered_vectors(spark):
     assert recall >= 0.9 and probes < 8, (recall, probes)
 
 
+def test_many_parts_asked_make_few_rows(spark, monkeypatch):
+    """Queries that ask all of 40 parts get k rows from each of 8 cells at most, and exactly the nearest, also from cells in chunks and blocks."""
+    x = np.random.default_rng(3).normal(size=(2000, 16)).round(1)
+    x[1500:1560] = x[7]  # equal vectors: ties by id
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    router = learned_partitions.fit(vectors, parts=40)
+    router.share = 2.0
+    made, plain = [], learned_partitions.found
+    monkeypatch.setattr(learned_partitions, "found", lambda *a: made.append(plain(*a)) or made[-1])
+    wanted = {}
+    for i in range(0, 2000, 20):
+        s = (x[i] * x).sum(axis=1)
+        wanted[i] = [j for j in np.lexsort((np.arange(2000), -s)) if j != i][:20]
+    for chunk, block in ((1 << 20, 8192), (100, 30)):
+        monkeypatch.setattr(learned_partitions, "CHUNK", chunk)
+        monkeypatch.setattr(learned_partitions, "BLOCK", block)
+        got = {}
+        for r in sorted(learned_partitions.search(vectors, F.col("vec_id") % 20 == 0, router=router).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == wanted
+    assert made[0].count() <= 8 * 20 * 100
+
+
 def test_repeated_query_ids_are_ranked_on_their_own(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
